@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from locusloom.llm import line_quality
+from locusloom.llm import line_quality, mixing
 from locusloom.llm.common import table
 
 
@@ -16,7 +17,16 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score_documents(documents, field, keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_line_quality": op1_line_quality}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    marked = mixing.apply_plan(documents, mixing.plan(documents, mixing.repeating))
+    return marked.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_quality": op1_line_quality,
+    "op9_mixing": op9_mixing,
+}
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.SQL}
