@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusloom.llm import line_quality, mixing
-from locusloom.llm.common import table
+from locusloom.llm import language_crf, line_quality, mixing
+from locusloom.llm.common import fold, table
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score_documents(documents, field, keep=["doc_id"])
 
 
+def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+    field = language_crf.fit(documents, among=~F.col("held_out"))
+    return language_crf.label_documents(documents, field, keep=["doc_id", "held_out"])
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     marked = mixing.apply_plan(documents, mixing.plan(documents, mixing.repeating))
@@ -25,6 +31,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
+    "op2_language_crf": op2_language_crf,
     "op9_mixing": op9_mixing,
 }
 
