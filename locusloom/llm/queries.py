@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusloom.llm import language_crf, line_quality, mixing, toxicity_kn
+from locusloom.llm import language_crf, line_quality, mixing, pieces, toxicity_kn
 from locusloom.llm.common import fold, table
 
 
@@ -23,6 +23,10 @@ def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.label_documents(documents, field, keep=["doc_id", "held_out"])
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.audit(table(spark, sf_dir, "documents"), pieces.Encoder(pieces.read_vocabulary()))
+
+
 def op4_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
     model = toxicity_kn.fit(documents, table(spark, sf_dir, "labels"), among=fold(F.col("doc_id"), 5) != 0)
@@ -38,6 +42,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
     "op2_language_crf": op2_language_crf,
+    "op3_pieces": op3_pieces,
     "op4_toxicity_kn": op4_toxicity_kn,
     "op9_mixing": op9_mixing,
 }
