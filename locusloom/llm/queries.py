@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusloom.llm import language_crf, line_quality, mixing, pieces, toxicity_kn
+from locusloom.llm import language_crf, line_quality, mixing, partenum, pieces, toxicity_kn
 from locusloom.llm.common import fold, table
 
 
@@ -33,6 +33,10 @@ def op4_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_kn.score_documents(documents, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     marked = mixing.apply_plan(documents, mixing.plan(documents, mixing.repeating))
@@ -44,8 +48,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_crf": op2_language_crf,
     "op3_pieces": op3_pieces,
     "op4_toxicity_kn": op4_toxicity_kn,
+    "op8_partenum": op8_partenum,
     "op9_mixing": op9_mixing,
 }
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op8_partenum": partenum.SQL, "op9_mixing": mixing.SQL}
