@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusloom.llm import language_crf, line_quality, mixing, partenum, pieces, toxicity_kn
+from locusloom.llm import language_crf, line_minhash, line_quality, mixing, partenum, pieces, toxicity_kn
 from locusloom.llm.common import fold, table
 
 
@@ -33,6 +33,10 @@ def op4_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_kn.score_documents(documents, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_minhash.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op8_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_crf": op2_language_crf,
     "op3_pieces": op3_pieces,
     "op4_toxicity_kn": op4_toxicity_kn,
+    "op5_line_minhash": op5_line_minhash,
     "op8_partenum": op8_partenum,
     "op9_mixing": op9_mixing,
 }
