@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusloom.llm import language_crf, line_minhash, line_quality, mixing, partenum, pieces, toxicity_kn
+from locusloom.llm import katz, language_crf, line_minhash, line_quality, mixing, partenum, pieces, toxicity_kn
 from locusloom.llm.common import fold, table
 
 
@@ -47,6 +47,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
     "op2_language_crf": op2_language_crf,
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_minhash": op5_line_minhash,
     "op8_partenum": op8_partenum,
     "op9_mixing": op9_mixing,
+    "op10_katz": op10_katz,
 }
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
