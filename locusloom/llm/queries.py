@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusloom.llm import katz, language_crf, line_minhash, line_quality, mixing, partenum, pieces, toxicity_kn
+from locusloom.llm import katz, language_crf, lattice, line_minhash, line_quality, mixing, partenum, pieces, toxicity_kn
 from locusloom.llm.common import fold, table
 
 
@@ -37,6 +37,10 @@ def op5_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_minhash.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pieces": op3_pieces,
     "op4_toxicity_kn": op4_toxicity_kn,
     "op5_line_minhash": op5_line_minhash,
+    "op7_lattice": op7_lattice,
     "op8_partenum": op8_partenum,
     "op9_mixing": op9_mixing,
     "op10_katz": op10_katz,
