@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusloom.llm import katz, language_crf, lattice, line_minhash, line_quality, mixing, partenum, pieces, toxicity_kn
+from locusloom.llm import fixity, katz, language_crf, lattice, line_minhash, line_quality, mixing, partenum, pieces, toxicity_kn
 from locusloom.llm.common import fold, table
 
 
@@ -37,6 +37,12 @@ def op5_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_minhash.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = fixity.audit(*fixity.plant(fixity.manifest(pages), fixity.manifest(fixity.damaged(pages))))
+    return found.select(F.col("key").alias("page_id"), "url", "status", "offset_a", "length_a", "digest_a", "digest_b")
+
+
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pieces": op3_pieces,
     "op4_toxicity_kn": op4_toxicity_kn,
     "op5_line_minhash": op5_line_minhash,
+    "op6_fixity": op6_fixity,
     "op7_lattice": op7_lattice,
     "op8_partenum": op8_partenum,
     "op9_mixing": op9_mixing,
@@ -68,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op8_partenum": partenum.SQL, "op9_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_fixity": fixity.SQL, "op8_partenum": partenum.SQL, "op9_mixing": mixing.SQL}
