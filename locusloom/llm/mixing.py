@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,14 +109,14 @@ def plan(documents: DataFrame, weights, *, key: str = "doc_id", text: str = "tex
     return spark.createDataFrame([[r[c.split(" ")[0]] for c in ("s", "source_size", "target", "whole", "rate", "ends")] for r in rows.values()], schema)
 
 
-def _chosen(size: Column, rank: Ranked, ends: list[Column]) -> list[Column]:
-    """Whether each round takes the document. ends: a struct column (room, bucket, q, h) for each round."""
-    out: list[Column] = []
-    for end in ends:
-        inside = end["bucket"].isNull() | (rank.bucket < end["bucket"]) | ((rank.bucket == end["bucket"]) & ((rank.q < end["q"]) | ((rank.q == end["q"]) & (rank.h <= end["h"]))))
-        free = reduce(lambda a, b: a & ~b, out, F.lit(True))
-        out.append(F.coalesce(free & rank.q.isNotNull() & (size > 0) & (size.cast("double") <= end["room"]) & inside, F.lit(False)))
-    return out
+def _taken(size: Column, rank: Ranked, ends: Column) -> Column:
+    """Whether any round takes the document. ends: an array of structs (room, bucket, q, h), one for each round."""
+
+    def inside(end: Column) -> Column:
+        upto = (rank.bucket < end["bucket"]) | ((rank.bucket == end["bucket"]) & ((rank.q < end["q"]) | ((rank.q == end["q"]) & (rank.h <= end["h"]))))
+        return (size.cast("double") <= end["room"]) & (end["bucket"].isNull() | F.coalesce(upto, F.lit(False)))
+
+    return F.coalesce((size > 0) & rank.q.isNotNull() & F.exists(ends, inside), F.lit(False))
 
 
 def _end(sized: DataFrame, rows: dict, seed: int) -> None:
@@ -130,7 +129,7 @@ def _end(sized: DataFrame, rows: dict, seed: int) -> None:
     rank = ranked(F.col("k"), F.col("size"), F.col("rate"), seed)
     open_ = open_.withColumns({"q": rank.q, "h": rank.h})
     rank = Ranked(rank.p, F.col("q"), F.col("h"), F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS).cast("int"))
-    taken = reduce(lambda a, b: a | b, _chosen(F.col("size"), rank, [F.col("ends")[i] for i in range(len(next(iter(rows.values()))["ends"]))]), F.lit(False))
+    taken = _taken(F.col("size"), rank, F.col("ends"))
     offered = open_.where((F.col("size") > 0) & F.col("q").isNotNull() & (F.col("size") <= F.col("room")) & ~taken).withColumn("bucket", rank.bucket)
     sums: dict[str | None, list[tuple[int, int]]] = {}
     for r in offered.groupBy("s", "bucket").agg(F.sum("size").alias("n")).collect():  # at most BUCKETS rows a source
@@ -157,13 +156,13 @@ def _end(sized: DataFrame, rows: dict, seed: int) -> None:
         r["room"] -= float(got["upto"] if got else r["_before"])
 
 
-def apply_plan(documents: DataFrame, made: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
+def apply_plan(documents: DataFrame, made: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """The documents with size, source_size, target and copies (0 to the limit)."""
     marked = documents.withColumn("_size", size_of(F.col(text))).join(made.alias("_made"), F.col(f"`{source}`").eqNullSafe(F.col("_made.s")))
     rank = ranked(F.col(key), F.col("_size"), F.col("_made.rate"), seed)
     marked = marked.withColumns({"_q": rank.q, "_h": rank.h})
     rank = Ranked(rank.p, F.col("_q"), F.col("_h"), F.floor(F.col("_q") / (1 + F.col("_q")) * BUCKETS).cast("int"))
-    more = reduce(lambda a, b: a | b, _chosen(F.col("_size"), rank, [F.get(F.col("_made.ends"), F.lit(i)) for i in range(rounds)]), F.lit(False))
+    more = _taken(F.col("_size"), rank, F.col("_made.ends"))
     return marked.select(*[documents[f"`{c}`"] for c in documents.columns], F.col("_size").alias("size"), F.col("_made.source_size"), F.col("_made.target"), (F.col("_made.whole") + more.cast("int")).alias("copies"))
 
 
