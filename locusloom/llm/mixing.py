@@ -156,14 +156,15 @@ def _end(sized: DataFrame, rows: dict, seed: int) -> None:
         r["room"] -= float(got["upto"] if got else r["_before"])
 
 
-def apply_plan(documents: DataFrame, made: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """The documents with size, source_size, target and copies (0 to the limit)."""
-    marked = documents.withColumn("_size", size_of(F.col(text))).join(made.alias("_made"), F.col(f"`{source}`").eqNullSafe(F.col("_made.s")))
+def apply_plan(documents: DataFrame, made: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, names: tuple[str, ...] = ("size", "source_size", "target", "copies")) -> DataFrame:
+    """The documents with size, source_size, target and copies (0 to the limit), under these or other names; columns of those names are replaced."""
+    marked = documents.withColumn("_size", size_of(F.col(f"`{text}`"))).join(made.alias("_made"), F.col(f"`{source}`").eqNullSafe(F.col("_made.s")))
     rank = ranked(F.col(key), F.col("_size"), F.col("_made.rate"), seed)
     marked = marked.withColumns({"_q": rank.q, "_h": rank.h})
     rank = Ranked(rank.p, F.col("_q"), F.col("_h"), F.floor(F.col("_q") / (1 + F.col("_q")) * BUCKETS).cast("int"))
     more = _taken(F.col("_size"), rank, F.col("_made.ends"))
-    return marked.select(*[documents[f"`{c}`"] for c in documents.columns], F.col("_size").alias("size"), F.col("_made.source_size"), F.col("_made.target"), (F.col("_made.whole") + more.cast("int")).alias("copies"))
+    added = F.col("_size"), F.col("_made.source_size"), F.col("_made.target"), F.col("_made.whole") + more.cast("int")
+    return marked.select(*[documents[f"`{c}`"] for c in documents.columns if c not in names], *[c.alias(n) for c, n in zip(added, names, strict=True)])
 
 
 def repeating(order: list) -> list[int]:
@@ -173,9 +174,9 @@ def repeating(order: list) -> list[int]:
 
 def mix(documents: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights=repeating) -> DataFrame:
     """The documents, each as many times as the mix takes it."""
-    names = {"key": key, "text": text, "source": source}
-    marked = apply_plan(documents, plan(documents, weights, **names), **names)
-    return marked.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    columns = {"key": key, "text": text, "source": source}
+    marked = apply_plan(documents, plan(documents, weights, **columns), **columns, names=("_mix_size", "_mix_source", "_mix_target", "_mix_copies"))
+    return marked.where("_mix_copies > 0").withColumn("_mix_copies", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 #: The same in SQL, over the whole table.
