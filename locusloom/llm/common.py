@@ -119,3 +119,27 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
 def lowered(texts: pa.Array) -> pa.Array:
     """A-Z as a-z, all else as it is."""
     return pc.ascii_lower(texts)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each run of equal integer keys, of batches sorted by them, as one batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys], 1)
+        edges = np.flatnonzero(np.concatenate([[True], (marks[1:] != marks[:-1]).any(1)])).tolist()
+        for a, b in zip(edges, [*edges[1:], len(marks)], strict=True):
+            mark = tuple(marks[a].tolist())
+            if held and mark != last:
+                yield _joined(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = mark
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

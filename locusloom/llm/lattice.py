@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import cut, mixed
+from locusloom.llm.common import cut, grouped, mixed
 from locusloom.llm.components import components
 
 TABLES, CHUNKS, PROBES, SCALE = 8, 2, 8, 4.0
@@ -195,34 +195,14 @@ def _met(celled: DataFrame, cosine: float, block: int, probes: int) -> DataFrame
     key = F.xxhash64("cell", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        names = None
-        for batch in batches:
-            names = batch.schema
-            marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "cell", "i", "j")], 1)
-            edges = np.flatnonzero(np.concatenate([[True], (marks[1:] != marks[:-1]).any(1)]))
-            if held and tuple(marks[0]) != last:
-                if (out := _block(_joined(held, names), cosine)) is not None:
-                    yield out
-                held = []
-            for a, b in zip(edges, [*edges[1:], len(marks)], strict=True):
-                if a and held:
-                    if (out := _block(_joined(held, names), cosine)) is not None:
-                        yield out
-                    held = []
-                held.append(batch.slice(int(a), int(b - a)))
-            last = tuple(marks[-1])
-        if held and (out := _block(_joined(held, names), cosine)) is not None:
-            yield out
+        for rows in grouped(batches, ["key", "cell", "i", "j"]):
+            if (out := _block(rows, cosine)) is not None:
+                yield out
 
     ordered = dealt.withColumn("key", key).repartition("key").sortWithinPartitions("key", "cell", "i", "j")
     return ordered.mapInArrow(run, "id long, links long, root long")
 
 
-def _joined(parts: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts, schema).combine_chunks().to_batches()[0]
-
-
 def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, tables: int = TABLES, chunks: int = CHUNKS, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
     """One row per vector: the key, n_links, component_id, kept."""
     x = F.transform(F.col(vector), lambda v: v.cast("double") + 0.0)

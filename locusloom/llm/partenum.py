@@ -10,10 +10,13 @@ partner can lie there.
 An empty projection says little and would be shared by many. n1 holds a tenth more parts than needed (`SPARE`), so at least
 that many more parts agree; a set with no more empty projections than that leaves them out without losing a pair.
 
-Candidates: equal sets are one vertex. Every other member of a signature's group is compared with the group's least member;
-inside a batch of documents this is done before the shuffle, so a frequent signature is sent once a batch. Sets are compared
-exactly. Where a member is not similar to the least one, the remaining pairs of that group that are not yet in one component
-are compared as well. Components are therefore those of all similar pairs, though only a few pairs of a dense group are made.
+Candidates: each row is sent once, by its set's digest, which finds equal sets, and once for each signature. Every other
+member of a signature's group is paired with the group's least member; inside a batch of documents this is done before the
+shuffle, so a set that a batch repeats sends its signatures once, and a frequent signature is sent once a batch. Where the
+least member is not similar to some of the others, each member outside its component is compared with all of the group,
+block by block. Pairs are first held against a sketch: how many elements fall into each of 256 cells. The sum of the
+differences never exceeds the number of elements in which two sets differ, so no similar pair is lost. What remains is
+compared exactly. Components are therefore those of all similar pairs, though only a few pairs of a dense group are made.
 
 Nulls and edges: a null text, or one without words, has an empty set and is linked with nothing; fewer words than a shingle are
 one shingle. Rows with the same key are one vertex. Rows with a null key are returned with a null component_id and link
@@ -30,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import byte_words, cut, lowered, mixed, slices, word_hashes
+from locusloom.llm.common import byte_words, cut, grouped, lowered, mixed, slices, word_hashes
 from locusloom.llm.components import components
 
 WORDS = 4
 #: Linked if PERCENT of the union's size is at most 100 times the intersection's.
 PERCENT = 85
 #: Bands of size: each ends at RATIO times its beginning.
-RATIO = 1.2
+RATIO = 1.5
 SPARE = 10
 SUBSETS = ((0, 1), (0, 2), (1, 2))
 
@@ -114,54 +117,122 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-def describe(documents: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, ratio: float = RATIO) -> DataFrame:
-    """(k, n, digest, sigs) of each row; digest and sigs are null for an empty set."""
+#: Cells of a sketch.
+CELLS = 256
+#: Members of a group that one block compares with as many others.
+BLOCK = 2048
+_SENT = "at long, x long, a long, b long, sig long, n long, sketch binary"
+
+
+def sketch(elements: np.ndarray) -> bytes:
+    """How many elements fall into each cell, 255 at most."""
+    return np.minimum(np.bincount((mixed(elements ^ np.uint64(0xC0FFEE)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def _sent(keys: np.ndarray, null: np.ndarray, sets: list[np.ndarray], bands: Bands) -> pa.RecordBatch:
+    """What a batch of sets sends: a row of each document by its digest, and of each distinct set's signatures by signature; members of a group that the batch holds twice as finished pairs, dealt by hash."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    raw = [hashlib.md5(s.tobytes()).digest() if len(s) else hashlib.md5(f"{k}".encode()).digest() for s, k in zip(sets, keys.tolist(), strict=True)]
+    digests = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+    usable = np.flatnonzero((sizes > 0) & ~null)
+    usable = usable[np.argsort(keys[usable], kind="stable")]
+    reps = usable[np.sort(np.unique(digests[usable, 0], return_index=True)[1])]
+    made = [signatures(sets[i], bands).view(np.int64) for i in reps.tolist()]
+    sigs = np.concatenate([np.zeros(0, np.int64), *made])
+    owner = np.repeat(keys[reps], [len(m) for m in made])
+    order = np.lexsort((owner, sigs))
+    sigs, owner = sigs[order], owner[order]
+    first = np.ones(len(sigs), bool)
+    first[1:] = sigs[1:] != sigs[:-1]
+    least = owner[first][np.cumsum(first) - 1]
+    rest = ~first & (owner != least)
+    spread = mixed(owner[rest].view(np.uint64) * np.uint64(3) + sigs[rest].view(np.uint64)).view(np.int64)
+    d, n, m = len(sets), int(first.sum()), int(rest.sum())
+    column = lambda docs, firsts, rests, null_: pa.array(np.concatenate([docs, firsts, rests]), mask=null_)
+    zeros = np.zeros
+    part = np.repeat([0, 1, 2], [d, n, m])
+    nulls = np.concatenate([null, zeros(n + m, bool)])
+    sketches = pa.array([sketch(s) for s in sets] + [None] * (n + m), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [
+            column(digests[:, 0], sigs[first], spread, None),
+            column(digests[:, 1], zeros(n, np.int64), zeros(m, np.int64), part > 0),
+            column(keys, owner[first], least[rest], nulls),
+            column(zeros(d, np.int64), zeros(n, np.int64), owner[rest], part < 2),
+            column(zeros(d, np.int64), zeros(n, np.int64), sigs[rest], part < 2),
+            column(sizes, zeros(n, np.int64), zeros(m, np.int64), part > 0),
+            sketches,
+        ],
+        names=["at", "x", "a", "b", "sig", "n", "sketch"],
+    )
+
+
+def met(documents: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, ratio: float = RATIO) -> DataFrame:
+    """Rows of documents: (k, n, sketch, m), m the least key with an equal set. Rows of candidates: (sig, a, b), b a member of the signature's group and a the one that it is paired with."""
     source = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent, ratio)
         for batch in batches:
-            for part in slices(batch, "t"):
-                sets = shingle_sets(part.column("t"), words)
-                sigs = [signatures(s, bands).view(np.int64) if len(s) else None for s in sets]
-                digests = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["k", "n", "digest", "sigs"])
+            for part in slices(batch, "t", 4_000_000):
+                keys = part.column("k")
+                null = keys.is_null().to_numpy(zero_copy_only=False)
+                yield _sent(keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null, shingle_sets(part.column("t"), words), bands)
+
+    near = source.mapInArrow(run, _SENT).withColumn("m", F.min("a").over(Window.partitionBy("at", "x")))
+    star = F.when(F.col("b").isNotNull(), F.struct("sig", "a", "b")).when(F.col("n").isNull() & (F.col("a") > F.col("m")), F.struct(F.col("at").alias("sig"), F.col("m").alias("a"), F.col("a").alias("b")))
+    near = near.withColumn("s", star).where("n is not null or s is not null")
+    return near.select("s.sig", "s.a", "s.b", F.when(F.col("n").isNotNull(), F.col("a")).alias("k"), "n", "sketch", "m")
+
+
+def _differ(sketch_a: np.ndarray, sketch_b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches (rows against rows) prove that sets are not similar enough."""
+    apart = np.abs(sketch_a.astype(np.int16) - sketch_b.astype(np.int16)).sum(1)
+    return (apart * (100 + percent) > (na + nb) * (100 - percent)) | (100 * np.minimum(na, nb) < percent * np.maximum(na, nb))
 
-    return source.mapInArrow(run, "k long, n long, digest binary, sigs array<long>")
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
 
-def _stars(vertices: DataFrame) -> DataFrame:
-    """(sig, a, b): for each signature its group's members b other than one a that they are compared with.
 
-    A batch sends one member for each signature, and its other members as finished pairs, dealt by their hash.
-    """
+def _plausible(pairs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out."""
+    sides = [told.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("sigs")
-            sigs = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = np.repeat(batch.column("k").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy(zero_copy_only=False)))
-            order = np.lexsort((owner, sigs))
-            sigs, owner = sigs[order], owner[order]
-            first = np.concatenate([[True], sigs[1:] != sigs[:-1]]) if len(sigs) else np.zeros(0, bool)
-            least = owner[first][np.cumsum(first) - 1] if len(sigs) else owner
-            rest = ~first & (owner != least)
-            spread = mixed(owner[rest].view(np.uint64) * np.uint64(3) + sigs[rest].view(np.uint64)).view(np.int64)
-            n, m = int(first.sum()), int(rest.sum())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([sigs[first], spread])),
-                    pa.array(np.concatenate([owner[first], least[rest]])),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), owner[rest]]), mask=np.arange(n + m) < n),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), sigs[rest]]), mask=np.arange(n + m) < n),
-                ],
-                names=["at", "a", "b", "sig"],
-            )
-
-    sent = vertices.select("k", "sigs").mapInArrow(run, "at long, a long, b long, sig long")
-    near = sent.withColumn("m", F.min("a").over(Window.partitionBy("at")))
-    made = F.when(F.col("b").isNotNull(), F.struct(F.col("sig"), F.col("a"), F.col("b"))).when(F.col("a") > F.col("m"), F.struct(F.col("at").alias("sig"), F.col("m").alias("a"), F.col("a").alias("b")))
-    return near.select(made.alias("x")).where("x is not null").select("x.*")
+            if batch.num_rows:
+                na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+                out = _differ(_sketches(batch.column("sa")), _sketches(batch.column("sb")), na, nb, percent)
+                yield batch.select(["a", "b"]).filter(pa.array(~out))
+
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _others(members: DataFrame, percent: int) -> DataFrame:
+    """The plausible pairs, across components, of members outside the component of their group's least with all members. members: (sig, k, root, head, n, sketch), head the least member's component."""
+    sized = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).select(F.col("sig").alias("g"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    held = members.join(sized, F.col("sig") == F.col("g")).withColumn("own", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    names = ["sig", "k", "root", "n", "sketch"]
+    first = held.where("root <> head").select(*names, F.lit(1).alias("side"), F.col("own").alias("i"), every.alias("j"))
+    second = held.select(*names, F.lit(2).alias("side"), every.alias("i"), F.col("own").alias("j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, ["sig", "i", "j"]):
+            side, k, root, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("side", "k", "root", "n"))
+            marks = _sketches(rows.column("sketch"))
+            found = []
+            all_ = np.flatnonzero(side == 2)
+            for i in np.flatnonzero(side == 1).tolist():
+                at = all_[root[all_] != root[i]]
+                at = at[~_differ(marks[i : i + 1], marks[at], n[i], n[at], percent)]
+                found.append(np.stack([np.minimum(k[at], k[i]), np.maximum(k[at], k[i])], 1))
+            if found and len(pairs := np.unique(np.concatenate(found), axis=0)):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    dealt = first.union(second).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 #: Bits of the filter that picks the documents to be read again: 1,024 rows of 4 KB at most, whatever the input.
@@ -202,32 +273,36 @@ def _compared(documents: DataFrame, pairs: DataFrame, text: str, key: str, words
 
 
 def classes(documents: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, ratio: float = RATIO) -> DataFrame:
-    """One row per row of documents: the key, n_shingles, n_signatures, component_id."""
+    """One row per row of documents: the key, n_shingles, component_id."""
     names = {"text": text, "key": key}
-    told = cut(describe(documents, **names, words=words, percent=percent, ratio=ratio))
-    owned = told.where("digest is not null and k is not null")
-    same = owned.groupBy("digest").agg(F.min("k").alias("m"))
-    equal = owned.select("k", "digest").join(same, "digest").where("k > m").select(F.col("m").alias("a"), F.col("k").alias("b"))
-    vertices = owned.join(same.select(F.col("m").alias("i")), F.col("k") == F.col("i"), "left_semi")
-    stars = cut(_stars(vertices))
-    checked = cut(_compared(documents, stars.select("a", "b").distinct(), **names, words=words, percent=percent))
+    near = cut(met(documents, **names, words=words, percent=percent, ratio=ratio))
+    told = near.where("n is not null")
+    stars = near.where("b is not null").select("sig", "a", "b")
+    equal = told.where("n > 0 and k > m").select(F.col("m").alias("a"), F.col("k").alias("b"))
+    one = told.where("k is not null").groupBy("k").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    plausible = cut(_plausible(stars.select("a", "b").distinct(), one, percent))
+    checked = cut(_compared(documents, plausible, **names, words=words, percent=percent))
     links = checked.where("linked").select("a", "b").union(equal)
     found = components(links)
-    failed = checked.where("not linked").select("a", "b")
-    if not failed.isEmpty():
-        held = stars.join(stars.join(failed, ["a", "b"]).select("sig").distinct(), "sig")
-        members = held.select("sig", F.explode(F.array("a", "b")).alias("k")).distinct().join(found.withColumnRenamed("id", "k"), "k", "left").select("sig", "k", F.coalesce("root", "k").alias("root"))
-        members = members.join(told.select("k", "n").distinct(), "k")
-        x, y = (members.select("sig", *[F.col(c).alias(f"{c}{i}") for c in ("k", "root", "n")]) for i in (1, 2))
-        similar = F.least("n1", "n2") * 100 >= percent * F.greatest("n1", "n2")
-        rest = x.join(y, "sig").where((F.col("k1") < F.col("k2")) & (F.col("root1") != F.col("root2")) & similar).select(F.col("k1").alias("a"), F.col("k2").alias("b")).distinct()
+    roots = found.select(F.col("id").alias("v"), "root")
+    both = stars.join(roots.withColumnRenamed("v", "a").withColumnRenamed("root", "ra"), "a", "left").select("sig", "a", "b", F.coalesce("ra", "a").alias("ra"))
+    both = both.join(roots.withColumnRenamed("v", "b").withColumnRenamed("root", "rb"), "b", "left").select("sig", "a", "b", "ra", F.coalesce("rb", "b").alias("rb"))
+    apart = both.where("ra <> rb").select("sig").distinct()
+    if not apart.isEmpty():
+        split = both.join(apart, "sig")
+        # Most signatures of a family of copies have the same members: one of them stands for all.
+        members = [F.min("a"), F.count(F.lit(1)), F.bit_xor(F.xxhash64("b")), F.bit_xor(F.xxhash64(F.lit(1), "b"))]
+        split = split.join(split.groupBy("sig").agg(F.struct(*members).alias("same")).groupBy("same").agg(F.min("sig").alias("sig")).select("sig"), "sig")
+        members = split.select("sig", F.col("a").alias("k"), F.col("ra").alias("root")).union(split.select("sig", F.col("b").alias("k"), F.col("rb").alias("root"))).distinct()
+        heads = split.groupBy("sig").agg(F.min("ra").alias("head"))
+        rest = _others(members.join(heads, "sig").join(one, "k").select("sig", "k", "root", "head", "n", "sketch"), percent)
         rest = cut(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             more = cut(_compared(documents, rest, **names, words=words, percent=percent).where("linked").select("a", "b"))
             if not more.isEmpty():
                 found = components(links.union(more))
-    out = told.select("k", "n", F.coalesce(F.size("sigs"), F.lit(0)).alias("s")).join(found.select(F.col("id").alias("k"), "root"), "k", "left")
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.greatest("s", F.lit(0)).cast("long").alias("n_signatures"), F.coalesce("root", "k").alias("component_id"))
+    out = told.select("k", "n").join(found.select(F.col("id").alias("k"), "root"), "k", "left")
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "k").alias("component_id"))
 
 
 #: The same by comparing all sets that share a shingle.
