@@ -278,6 +278,10 @@ def classes(documents: DataFrame, *, text: str = "text", key: str = "doc_id", wo
     near = cut(met(documents, **names, words=words, percent=percent, ratio=ratio))
     told = near.where("n is not null")
     stars = near.where("b is not null").select("sig", "a", "b")
+    # Most signatures of a family of copies have the same members, and so the same pairs: one of them stands for all.
+    same = [F.min("a"), F.count(F.lit(1)), F.bit_xor(F.xxhash64("b")), F.bit_xor(F.xxhash64(F.lit(1), "a", "b"))]
+    stands = stars.groupBy("sig").agg(F.struct(*same).alias("same")).groupBy("same").agg(F.min("sig").alias("sig")).select("sig")
+    stars = cut(stars.join(stands, "sig"))
     equal = told.where("n > 0 and k > m").select(F.col("m").alias("a"), F.col("k").alias("b"))
     one = told.where("k is not null").groupBy("k").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     plausible = cut(_plausible(stars.select("a", "b").distinct(), one, percent))
@@ -287,12 +291,10 @@ def classes(documents: DataFrame, *, text: str = "text", key: str = "doc_id", wo
     roots = found.select(F.col("id").alias("v"), "root")
     both = stars.join(roots.withColumnRenamed("v", "a").withColumnRenamed("root", "ra"), "a", "left").select("sig", "a", "b", F.coalesce("ra", "a").alias("ra"))
     both = both.join(roots.withColumnRenamed("v", "b").withColumnRenamed("root", "rb"), "b", "left").select("sig", "a", "b", "ra", F.coalesce("rb", "b").alias("rb"))
+    both = cut(both)
     apart = both.where("ra <> rb").select("sig").distinct()
     if not apart.isEmpty():
-        split = both.join(apart, "sig")
-        # Most signatures of a family of copies have the same members: one of them stands for all.
-        members = [F.min("a"), F.count(F.lit(1)), F.bit_xor(F.xxhash64("b")), F.bit_xor(F.xxhash64(F.lit(1), "b"))]
-        split = split.join(split.groupBy("sig").agg(F.struct(*members).alias("same")).groupBy("same").agg(F.min("sig").alias("sig")).select("sig"), "sig")
+        split = cut(both.join(apart, "sig"))
         members = split.select("sig", F.col("a").alias("k"), F.col("ra").alias("root")).union(split.select("sig", F.col("b").alias("k"), F.col("rb").alias("root"))).distinct()
         heads = split.groupBy("sig").agg(F.min("ra").alias("head"))
         rest = _others(members.join(heads, "sig").join(one, "k").select("sig", "k", "root", "head", "n", "sketch"), percent)
