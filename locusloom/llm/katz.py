@@ -38,6 +38,8 @@ SHARE = 2.0**-17
 DISCOUNTED = 5
 #: Characters whose tokens are packed together, and training tokens for which there is one part.
 CHARS, TOKENS = 8_000_000, 4_000_000
+#: Parts that one task takes, one after another; its sums by document are added up before they are sent, so many at a time.
+TASK, HELD = 4, 2_000_000
 _END, _BEGIN = np.uint64(0x5E17D0C0FFEE0001), 0
 _NONE = -1
 
@@ -92,6 +94,11 @@ class Words:
         return np.where(self.hashes[at] == words, at, -1)
 
 
+def _total(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by place; floating point for no values, too."""
+    return np.bincount(at, values, n).astype(np.float64)
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of all texts one after another, each text's closed by the end, and the texts' offsets."""
     data, starts, stops, ends = byte_words(lowered(texts))
@@ -167,8 +174,8 @@ def occurrences(documents: DataFrame, level: Words, parts: int, *, text: str, ke
                 context[ends[:-1]] = _BEGIN
                 # Frequent words' base scores, and their word probabilities after a word that is no context, need no other rows.
                 known, alone = frequent[word], frequent[word] & (context == _NONE)
-                base = np.bincount(doc[known], level.log_base(count)[word[known]], n)
-                score = np.bincount(doc[alone], level.log_p(count)[word[alone]], n)
+                base = _total(doc[known], level.log_base(count)[word[known]], n)
+                score = _total(doc[alone], level.log_p(count)[word[alone]], n)
                 rid = part.column("rid").to_numpy(zero_copy_only=False).astype(np.int64)
                 held = part.column("held").to_numpy(zero_copy_only=False).astype(bool)
                 told = _documents(part.column("k"), rid, held, np.diff(ends), np.bincount(doc[known], minlength=n), base, score)
@@ -261,8 +268,8 @@ def bigram_masses(packed: DataFrame, level: Words) -> DataFrame:
             context, count = part.context[seen], part.count[seen]
             own, at = np.unique(context, return_inverse=True)
             mass = 10.0 ** level.log_p(part.word_count[part.word[seen]])
-            columns = [np.bincount(at, count, len(own)), *(np.bincount(at, count == r, len(own)) for r in range(1, DISCOUNTED + 1)), np.bincount(at, np.where(count > DISCOUNTED, count, 0), len(own)), np.bincount(at, mass, len(own))]
-            six = np.bincount(at, count == DISCOUNTED + 1, len(own))
+            columns = [_total(at, count, len(own)), *(_total(at, count == r, len(own)) for r in range(1, DISCOUNTED + 1)), _total(at, np.where(count > DISCOUNTED, count, 0), len(own)), _total(at, mass, len(own))]
+            six = _total(at, count == DISCOUNTED + 1, len(own))
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(x) for x in columns), pa.array(six)], names=["context", *_MASS, "six"])
 
     made = packed.mapInArrow(run, ", ".join(["context long", *[f"{c} double" for c in _MASS], "six double"]))
@@ -274,7 +281,7 @@ def score_documents(documents: DataFrame, held_out: Column, *, text: str = "text
     counted = cut(word_counts(documents, ~held_out, text))
     level = word_level(counted, share)
     parts = max(8, -(-level.total // TOKENS))
-    packed = cut(occurrences(documents, level, parts, text=text, key=key, held_out=held_out).repartition(parts, "p").sortWithinPartitions("p"))
+    packed = cut(occurrences(documents, level, parts, text=text, key=key, held_out=held_out).repartition(max(8, -(-parts // TASK)), "p").sortWithinPartitions("p"))
     rows = bigram_masses(packed, level).collect()  # at most 1 / share + 1 contexts
     seen = {r: sum(x[f"n{r}"] for x in rows) for r in range(1, DISCOUNTED + 1)} | {DISCOUNTED + 1: sum(x["six"] for x in rows)}
     ratio = discounts(seen)
@@ -286,6 +293,14 @@ def score_documents(documents: DataFrame, held_out: Column, *, text: str = "text
         weight[x["context"]] = np.log10(1 - mass / size[x["context"]]) - np.log10(1 - x["words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: list[tuple] = []
+
+        def sums() -> pa.RecordBatch:
+            rid, known, base, score = (np.concatenate(x) for x in zip(*sent, strict=True))
+            own, at = np.unique(rid, return_inverse=True)
+            zero = np.zeros(len(own), np.int64)
+            return _summed(own, pa.nulls(len(own), pa.int64()), zero, zero, zero, np.bincount(at, known).astype(np.int64), _total(at, base, len(own)), _total(at, score, len(own)))
+
         for docs, rows in _blocks(batches):
             for d in docs:
                 k, null, rid, held, tokens_, known, base, score = _unpacked(d)
@@ -302,15 +317,20 @@ def score_documents(documents: DataFrame, held_out: Column, *, text: str = "text
             log_p = np.where(inside, np.where(part.count > 0, seen, weight[c] + backed), backed)
             rare = ~part.frequent[part.word]
             n = len(part.rid)
-            score = np.bincount(part.doc, log_p[part.pair] * part.times, n)
-            base = np.bincount(part.doc, np.where(rare, level.log_base(of_word), 0.0)[part.pair] * part.times, n)
+            score = _total(part.doc, log_p[part.pair] * part.times, n)
+            base = _total(part.doc, np.where(rare, level.log_base(of_word), 0.0)[part.pair] * part.times, n)
             known = np.bincount(part.doc, (rare & (of_word > 0))[part.pair] * part.times, n).astype(np.int64)
             own, at = np.unique(part.rid, return_inverse=True)
-            zero = np.zeros(len(own), np.int64)
-            yield _summed(own, pa.nulls(len(own), pa.int64()), zero, zero, zero, np.bincount(at, known).astype(np.int64), np.bincount(at, base), np.bincount(at, score))
-
-    sums = packed.mapInArrow(run, "rid long, k long, held long, n_tokens long, copies long, known long, base double, score double")
-    total = sums.groupBy("rid").agg(F.max("k").alias("k"), F.max("held").alias("held"), *[F.sum(c).alias(c) for c in ("n_tokens", "copies", "known", "base", "score")])
+            sent.append((own, np.bincount(at, known).astype(np.int64), _total(at, base, len(own)), _total(at, score, len(own))))
+            del part
+            if sum(len(x[0]) for x in sent) > HELD:
+                yield sums()
+                sent.clear()
+        if sent:
+            yield sums()
+
+    added = packed.mapInArrow(run, "rid long, k long, held long, n_tokens long, copies long, known long, base double, score double")
+    total = added.groupBy("rid").agg(F.max("k").alias("k"), F.max("held").alias("held"), *[F.sum(c).alias(c) for c in ("n_tokens", "copies", "known", "base", "score")])
     each = total.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     whole = [(F.col(c) / F.col("copies")).cast("long").alias(name) for c, name in (("n_tokens", "n_tokens"), ("known", "n_known"))]
     return each.select(F.col("k").alias(key), (F.col("held") > 0).alias("held_out"), *whole, F.lit(level.total).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
