@@ -7,8 +7,8 @@ code and before the shuffle, and never from whole sets. Long lines sign a quarte
 leaves the probabilities of MinHash as they are; lines near the limit sign both ways.
 
 Lines that agree in one band are candidates: equal lines are one vertex, and every other member of a band's group is
-compared with the group's least. Where that comparison fails, the other pairs of the group that are not yet in one
-component are compared too. Comparison is exact: Jaccard similarity of the shingle sets of at least PERCENT hundredths, and
+compared with the group's least. Members outside the least one's component are then compared with all of the group, in
+blocks that give back links only. Comparison is exact: Jaccard similarity of the shingle sets of at least PERCENT hundredths, and
 at least SHORTER hundredths of the longer line's shingles, counted with repeats, in the shorter one (so a line is not taken
 for a line that repeats it). Components of linked lines are found by alternating stars; the first line of each, by key
 and line number, is kept.
@@ -36,6 +36,8 @@ ROWS, BANDS = 3, 8
 PERCENT, SHORTER = 80, 75
 #: Lines of fewer shingles sign all of them; those of LONG or more sign one of four. The overlap is wider than SHORTER.
 SHORT, LONG = 200, 150
+#: Members of a block, and their shingles, about.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 #: Buckets of the filter that picks lines to be read again: so many rows of 4 KB at most, whatever the input.
 _BUCKETS = 1024
@@ -76,50 +78,70 @@ def _stars(in_bands: DataFrame) -> DataFrame:
     return in_bands.join(least.hint("shuffle_hash"), F.col("band") == F.col("e")).where("h > a").select("band", "a", F.col("h").alias("b"))
 
 
-def _compared(lines: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b, linked) for distinct pairs of hashes, by exact comparison."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+def _texts(lines: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(h, b, n): the bytes and shingle positions of the lines with the given hashes; a filter of fixed size keeps most others from being shuffled."""
     row, spot = F.pmod(F.xxhash64("h"), F.lit(_BUCKETS)), F.pmod(F.xxhash64(F.lit(2), "h"), F.lit(32768))
     bits = ids.groupBy(row.alias("row")).agg(F.bitmap_construct_agg(spot).alias("bits"))  # _BUCKETS rows of 4 KB
     near = lines.select("h", "line").withColumns({"row": row, "spot": spot}).join(F.broadcast(bits), "row")
     near = near.where("shiftright(cast(conv(hex(substring(bits, cast(spot div 8 as int) + 1, 1)), 16, 10) as int), cast(spot % 8 as int)) & 1 = 1")
-    texts = near.select("h", "line").join(ids.withColumnRenamed("h", "i"), F.col("h") == F.col("i"), "left_semi").groupBy("h").agg(F.max("line").alias("line"))
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.encode("line", "utf-8").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.encode("line", "utf-8").alias("y")), "b")
-
-    def shingles(raw: Column) -> Column:
-        # The bytes are bound once, not copied for each shingle.
-        return F.transform(F.array(raw), lambda r: F.array_distinct(F.transform(F.sequence(F.lit(1), _positions(r, shingle)), lambda i: F.xxhash64(F.substring(r, i, F.lit(shingle))))))[0]
-
-    sized = both.withColumns({"nx": _positions(F.col("x"), shingle), "ny": _positions(F.col("y"), shingle)})
-    close = F.least("nx", "ny") * 100 >= SHORTER * F.greatest("nx", "ny")
-    sets = sized.select("a", "b", F.when(close, shingles(F.col("x"))).alias("x"), F.when(close, shingles(F.col("y"))).alias("y"))
-    counts = sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("c"))
-    return counts.select("a", "b", F.coalesce(F.col("c") * 100 >= percent * (F.col("nx") + F.col("ny") - F.col("c")), F.lit(False)).alias("linked"))
-
-
-def _not_compared(stars: DataFrame, compared: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs of groups with a failed comparison that are neither compared nor in one component."""
-    failed = stars.join(compared.where("not linked").select("a", "b"), ["a", "b"]).select("band").distinct()
-    members = stars.join(failed, "band").select("band", F.explode(F.array("a", "b")).alias("h")).distinct()
-    members = members.join(found.withColumnRenamed("id", "h"), "h", "left").select("band", "h", F.coalesce("root", "h").alias("root"))
-    x, y = (members.select("band", F.col("h").alias(f"h{i}"), F.col("root").alias(f"root{i}")) for i in (1, 2))
-    pairs = x.join(y, "band").where((F.col("h1") < F.col("h2")) & (F.col("root1") != F.col("root2"))).select(F.col("h1").alias("a"), F.col("h2").alias("b")).distinct()
-    return pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    found = near.select("h", "line").join(ids.withColumnRenamed("h", "i"), F.col("h") == F.col("i"), "left_semi").groupBy("h").agg(F.max("line").alias("line"))
+    return found.select("h", F.encode("line", "utf-8").alias("b")).withColumn("n", _positions(F.col("b"), shingle))
+
+
+def _shingles(raw: Column, shingle: int) -> Column:
+    """The distinct shingle hashes of a line. The bytes are bound once, not copied for each shingle."""
+    return F.transform(F.array(raw), lambda r: F.array_distinct(F.transform(F.sequence(F.lit(1), _positions(r, shingle)), lambda i: F.xxhash64(F.substring(r, i, F.lit(shingle))))))[0]
+
+
+def _similar(nx: Column, x: Column, ny: Column, y: Column, percent: int) -> Column:
+    c = F.size(F.array_intersect(x, y))
+    fits = (F.least(nx, ny) * 100 >= SHORTER * F.greatest(nx, ny)) & (F.least(F.size(x), F.size(y)) * 100 >= percent * F.greatest(F.size(x), F.size(y)))
+    return F.when(fits, c * 100 >= percent * (F.size(x) + F.size(y) - c)).otherwise(F.lit(False))
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The linked ones of distinct pairs (a, b)."""
+    sides = [texts.select(F.col("h").alias(c), F.col("n").alias(f"n{c}"), F.col("b").alias(f"b{c}")) for c in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("na", "nb") * 100 >= SHORTER * F.greatest("na", "nb"))
+    sets = both.select("a", "b", "na", "nb", _shingles(F.col("ba"), shingle).alias("sa"), _shingles(F.col("bb"), shingle).alias("sb"))
+    return sets.where(_similar(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), percent)).select("a", "b")
+
+
+def _others(stars: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The links, across components, of members outside the component of their group's least member with all members. Compared inside blocks of bounded size, which give back links only."""
+    roots = found.select(F.col("id").alias("v"), "root")
+    told = stars.join(roots.withColumnRenamed("v", "a").withColumnRenamed("root", "ra"), "a", "left").join(roots.withColumnRenamed("v", "b").withColumnRenamed("root", "rb"), "b", "left")
+    told = told.select("band", "a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    split = told.join(told.where("ra <> rb").select("band").distinct(), "band")
+    members = split.select("band", F.col("a").alias("h"), F.col("ra").alias("root"), F.col("ra").alias("head")).union(split.select("band", "b", "rb", "ra")).distinct()
+    members = members.join(texts.select(F.col("h").alias("v"), "n"), F.col("h") == F.col("v")).drop("v")
+    sized = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).select(F.col("band").alias("g"), F.ceil(F.greatest(F.col("c") / BLOCK, F.col("t") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    held = members.join(sized, F.col("band") == F.col("g")).withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    first = held.where("root <> head").select("band", "h", "root", F.lit(1).alias("side"), F.col("own").alias("i"), every.alias("j"))
+    second = held.select("band", "h", "root", F.lit(2).alias("side"), every.alias("i"), F.col("own").alias("j"))
+    dealt = first.union(second).join(texts.select(F.col("h").alias("v"), "n", "b"), F.col("h") == F.col("v"))
+    one = F.struct("h", "root", "n", "b")
+    blocks = dealt.groupBy("band", "i", "j").agg(F.collect_list(F.when(F.col("side") == 1, one)).alias("x"), F.collect_list(F.when(F.col("side") == 2, one)).alias("y"))
+    # Each member's set is made once in a block.
+    whole = lambda p: F.struct(p["h"].alias("h"), p["root"].alias("root"), p["n"].alias("n"), _shingles(p["b"], shingle).alias("s"))
+    fits = lambda p, q: (p["root"] != q["root"]) & _similar(p["n"], p["s"], q["n"], q["s"], percent)
+    link = lambda p, q: F.struct(F.least(p["h"], q["h"]).alias("a"), F.greatest(p["h"], q["h"]).alias("b"))
+    met = lambda m: F.flatten(F.transform(m["x"], lambda p: F.transform(F.filter(m["y"], lambda q: fits(p, q)), lambda q: link(p, q))))
+    # Bound to a variable, the sets are not made anew for each comparison.
+    links = F.transform(F.array(F.struct(F.transform("x", whole).alias("x"), F.transform("y", whole).alias("y"))), met)[0]
+    return blocks.select(F.explode(F.array_distinct(links)).alias("l")).select("l.a", "l.b").distinct()
 
 
 def linked_lines(lines: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(id, root) of the hashes of linked lines that are not the least of their component."""
     stars = cut(_stars(banded(signatures(lines, shingle=shingle, rows=rows, bands=bands), rows, bands)))
-    compared = cut(_compared(lines, stars.select("a", "b").distinct(), shingle, percent))
-    links = compared.where("linked").select("a", "b")
+    ids = cut(stars.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    texts = cut(_texts(lines, ids, shingle))
+    links = cut(_compared(stars.select("a", "b").distinct(), texts, shingle, percent))
     found = components(links)
-    if not compared.where("not linked").isEmpty():
-        rest = cut(_not_compared(stars, compared, found))
-        if not rest.isEmpty():
-            more = cut(_compared(lines, rest, shingle, percent).where("linked").select("a", "b"))
-            if not more.isEmpty():
-                found = components(links.union(more))
-    return found
+    more = cut(_others(stars, found, texts, shingle, percent))
+    return found if more.isEmpty() else components(links.union(more))
 
 
 def deduplicate(documents: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
