@@ -244,3 +244,36 @@ def test_katz_against_the_definition(spark, share):
         assert math.isclose(r["score"], score, rel_tol=1e-9) and math.isclose(r["base_score"], base, rel_tol=1e-9)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(words[w] > 0 for w in t), n, r["doc_id"] % 10 == 1)
     assert katz.score_documents(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_katz_keeps_every_context(spark):
+    """Of more than 2**17 training tokens, bigrams after words seen once or twice count as others do; words are frequent and rare."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(30000)]
+    weights = list(itertools.accumulate(1 / (k + 1) for k in range(30000)))
+    texts = {i: " ".join(rng.choices(vocabulary, cum_weights=weights, k=1000)) for i in range(300)}
+    texts |= {300: "once upon", 301: "once upon", 310: "once more"}
+    got = {r.doc_id: r.score for r in katz.score_documents(spark.createDataFrame([(i, t, None, None) for i, t in texts.items()], DOCS), F.col("doc_id") % 10 == 1).collect()}
+    tokens = {i: [*t.split(), None] for i, t in texts.items()}
+    words, pairs, after = collections.Counter(), collections.Counter(), collections.defaultdict(list)
+    for i, t in tokens.items():
+        if i % 10 != 1:
+            words.update(t)
+            pairs.update(zip(["<s>", *t[:-1]], t, strict=True))
+    n = sum(words.values())
+    assert n > 2**17 and min(words.values()) == 1 and words["once"] == 2
+    for (h, w), c in pairs.items():
+        after[h].append((w, c))
+    d1, d2 = (katz.discounts(collections.Counter(x.values())) for x in (words, pairs))
+    cut = lambda d, c: (d[c] if c <= katz.DISCOUNTED else 1.0) * c
+    mass = sum(cut(d1, c) for c in words.values())
+    events = n + (mass >= n)
+    p1 = lambda w: cut(d1, words[w]) / events if words[w] else 1 - mass / events
+    size, weight = {}, {}
+    for h, seen in after.items():
+        total, kept = sum(c for _, c in seen), sum(cut(d2, c) for _, c in seen)
+        size[h] = total + (kept >= total)
+        weight[h] = (1 - kept / size[h]) / (1 - sum(p1(w) for w, _ in seen))
+    for i, t in tokens.items():
+        score = sum(math.log10(cut(d2, pairs[h, w]) / size[h] if (h, w) in pairs else weight.get(h, 1) * p1(w)) for h, w in zip(["<s>", *t[:-1]], t, strict=True))
+        assert math.isclose(got[i], score, rel_tol=1e-9), i
