@@ -279,7 +279,10 @@ def classes(documents: DataFrame, *, text: str = "text", key: str = "doc_id", wo
     told = near.where("n is not null")
     stars = near.where("b is not null").select("sig", "a", "b")
     # Most signatures of a family of copies have the same members, and so the same pairs: one of them stands for all.
-    same = [F.min("a"), F.count(F.lit(1)), F.bit_xor(F.xxhash64("b")), F.bit_xor(F.xxhash64(F.lit(1), "a", "b"))]
+    # Sums, as rows that repeat in other batches send a pair more than once; halves of 32 bits, so that none overflows.
+    hashes = [F.xxhash64("b"), F.xxhash64(F.lit(1), "a", "b")]
+    halves = [x for h in hashes for x in (h.bitwiseAND(F.lit(2**32 - 1)), F.shiftrightunsigned(h, 32))]
+    same = [F.min("a"), F.count(F.lit(1)), *[F.sum(x) for x in halves]]
     stands = stars.groupBy("sig").agg(F.struct(*same).alias("same")).groupBy("same").agg(F.min("sig").alias("sig")).select("sig")
     stars = cut(stars.join(stands, "sig"))
     equal = told.where("n > 0 and k > m").select(F.col("m").alias("a"), F.col("k").alias("b"))

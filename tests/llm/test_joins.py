@@ -215,3 +215,20 @@ def test_pipeline_against_its_stages(spark, tmp_path, family):
     assert out.columns == ["doc_id", "lang", "source", "ids", "n_pieces"]
     assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in joined.collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_jaccard_classes_of_a_table_united_with_itself(spark):
+    """Rows that repeat in other partitions send each pair twice; no signature may stand for one with other members."""
+    # Texts and two copies each, changed at either end: no signature is common to all three.
+    rows = []
+    for f, n, m in ((16, 36, 2), (94, 54, 4), (237, 77, 6), (260, 40, 3), (372, 32, 2), (705, 65, 5)):
+        words = [f"f{f}w{i}" for i in range(n)]
+        for copy in (words, [f"f{f}a{i}" for i in range(m)] + words[m:], words[:-m] + [f"f{f}b{i}" for i in range(m)]):
+            rows.append((len(rows), " ".join(copy), "en", "s"))
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    got = collections.Counter(tuple(r) for r in partenum.classes(docs.union(docs)).collect())
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in ((i, words_of(t)) for i, t, *_ in rows)}
+    links = [(a, b) for a in sets for b in range(a + 1, a - a % 3 + 3) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    root = least_reachable(sets, links)
+    assert all(root[i] == i - i % 3 for i in sets)
+    assert got == {(i, len(sets[i]), root[i]): 2 for i in sets}
