@@ -69,13 +69,17 @@ class LanguageField:
     moves: np.ndarray
 
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-        """Posteriors (words, labels), whether each word holds a letter of ASCII, the texts' offsets, and the words as byte ranges."""
+        """Posteriors (words, labels), whether each word holds a letter, the texts' offsets, and the words as byte ranges."""
         data, starts, stops, ends = byte_words(lower(texts))
         ids, first, inverse = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
         feats, at = word_features(data, starts[first], stops[first])
         scores = np.add.reduceat(self.weights[feats], at[:-1]) if len(ids) else np.zeros((0, len(self.labels)), np.float32)
-        letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-        lettered = (letters[stops] - letters[starts]) > 0
+        letters, beyond = (np.concatenate([[0], np.cumsum(x)]) for x in (_LETTER[data], data >= 128))
+        begin, end = starts[first], stops[first]
+        own = letters[end] > letters[begin]
+        for i in np.flatnonzero(~own & (beyond[end] > beyond[begin])).tolist():  # no letter of ASCII
+            own[i] = any(c.isalpha() for c in data[begin[i] : end[i]].tobytes().decode(errors="replace"))
+        lettered = own[inverse]
         return crf.posteriors(scores[inverse].astype(np.float64), ends, self.moves), lettered, ends, (data, starts, stops)
 
     def documents(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -83,12 +87,8 @@ class LanguageField:
         n, k = len(texts), len(self.labels)
         if not k:
             return [UNKNOWN] * n, np.zeros(n)
-        post, lettered, ends, (data, starts, stops) = self.words(texts)
+        post, lettered, ends, _ = self.words(texts)
         owner = np.repeat(np.arange(n), np.diff(ends))
-        plain = np.bincount(owner[lettered], minlength=n) > 0
-        for i in np.flatnonzero(~plain):  # letters beyond ASCII only
-            for w in range(ends[i], ends[i + 1]):
-                lettered[w] = any(c.isalpha() for c in data[starts[w] : stops[w]].tobytes().decode(errors="replace"))
         count = np.bincount(owner[lettered], minlength=n)
         means = np.stack([np.bincount(owner[lettered], post[lettered, y], n) for y in range(k)], 1) / np.maximum(count, 1)[:, None]
         best = means.argmax(1)

@@ -277,3 +277,13 @@ def test_katz_keeps_every_context(spark):
     for i, t in tokens.items():
         score = sum(math.log10(cut(d2, pairs[h, w]) / size[h] if (h, w) in pairs else weight.get(h, 1) * p1(w)) for h, w in zip(["<s>", *t[:-1]], t, strict=True))
         assert math.isclose(got[i], score, rel_tol=1e-9), i
+
+
+def test_words_of_any_script_vote_for_the_language():
+    field = language_crf.fit_texts({"en": ["the house is near the river and the road"] * 5, "ru": ["дом стоит у реки и дорога рядом"] * 5}, chains=400)
+    text = "дом стоит у реки the дорога рядом 12 …"
+    post, lettered, *_ = field.words(pa.array([text]))
+    assert lettered.tolist() == [True] * 7 + [False] * 2
+    (lang,), (score,) = field.documents(pa.array([text]))
+    assert lang == "ru" and math.isclose(score, post[:7, 1].mean())
+    assert field.documents(pa.array(["12 … 34", None]))[0] == ["und", "und"]
