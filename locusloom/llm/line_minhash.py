@@ -1,19 +1,22 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Lines are the parts of a text between line feeds that hold a word. A line's shingles are its runs of SHINGLE bytes of UTF-8
-(a shorter line is one shingle). Signatures hold ROWS * BANDS minima: each is the least shingle hash after an exclusive or
-with a constant, which orders the hashes anew. They are aggregated from one generated row per shingle, inside generated
-code and before the shuffle, and never from whole sets. Long lines sign a quarter of their shingles, chosen by hash, which
-leaves the probabilities of MinHash as they are; lines near the limit sign both ways.
+(a shorter line is one shingle). Its signature holds MINIMA minima: each is the least shingle hash after an exclusive or
+with a constant, which orders the hashes anew. All lines sign all their shingles. Minima are aggregated from one generated row
+per shingle, inside generated code and before the shuffle, and never from whole sets.
 
-Lines that agree in one band are candidates: equal lines are one vertex, and every other member of a band's group is
-compared with the group's least. Members outside the least one's component are then compared with all of the group, in
-blocks that give back links only. Comparison is exact: Jaccard similarity of the shingle sets of at least PERCENT hundredths, and
-at least SHORTER hundredths of the longer line's shingles, counted with repeats, in the shorter one (so a line is not taken
-for a line that repeats it). Components of linked lines are found by alternating stars; the first line of each, by key
-and line number, is kept.
+Each band is a triple of minima; lines that agree in one are candidates. Equal lines are one vertex.
 
-With 3 rows and 8 bands a pair of similarity 0.8 shares a band with probability 0.997, one of 0.9 with 1 - 3e-5.
+1. Every member of a band's group is compared with the group's pivot, its most frequent line: of near copies that is mostly the one
+   that they were made from, so one comparison each links nearly all of them.
+2. Members outside the pivot's component are then compared with all members of other components in the group, in blocks
+   of bounded size. Two lower bounds go before the sets: the sizes, and the number of bits in which two bitmaps of the
+   shingles differ, which the sets differ in at least. Blocks give back pairs of components, not of lines.
+
+Comparison is exact: Jaccard similarity of the shingle sets of at least `percent` hundredths. Components of linked lines are found
+by alternating stars; the first line of each, by key and line number, is kept.
+
+Two lines of similarity 0.8 share a band with probability 0.981, of 0.85 with 0.995, of 0.9 with 0.9994.
 
 Nulls and edges: null texts and null keys have no lines here, blank lines are never removed, lines of any length are signed and
 compared whole. Rows with the same key are one document given twice: both keep the same lines. Lines are told apart by a
@@ -24,6 +27,8 @@ Other columns pass unread.
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +36,14 @@ from pyspark.sql import functions as F
 from locusloom.llm.common import cut
 from locusloom.llm.components import components
 
-SHINGLE = 9
-ROWS, BANDS = 3, 8
-PERCENT, SHORTER = 80, 75
-#: Lines of fewer shingles sign all of them; those of LONG or more sign one of four. The overlap is wider than SHORTER.
-SHORT, LONG = 200, 150
-#: Members of a block, and their shingles, about.
-BLOCK, BLOCK_SHINGLES = 512, 400_000
+SHINGLE, PERCENT = 9, 80
+#: Minima of a signature, and the triples of them that are its bands; each is in two.
+MINIMA = 12
+BANDS = ((4, 7, 10), (0, 3, 9), (2, 6, 8), (1, 5, 11), (2, 3, 10), (1, 5, 7), (0, 4, 6), (8, 9, 11))
+#: Members of a block, and their shingles, about; words of 64 bits in a bitmap of shingles.
+BLOCK, BLOCK_SHINGLES, WORDS = 512, 400_000, 64
 _HAS_WORD = r"[^\x20\x09-\x0D]"
-#: Buckets of the filter that picks lines to be read again: so many rows of 4 KB at most, whatever the input.
+#: Buckets of the filter that picks rows before a shuffle: so many rows of 4 KB at most, whatever the input.
 _BUCKETS = 1024
 
 
@@ -53,38 +57,42 @@ def _positions(raw: Column, shingle: int) -> Column:
     return F.greatest(F.lit(1), F.octet_length(raw) - shingle + 1)
 
 
-def signatures(lines: DataFrame, *, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, seed: int = 5) -> DataFrame:
-    """(h, kind, m0, m1, ...): the minima of each distinct line; kind 0 over all shingles, 1 over a quarter."""
+def signatures(lines: DataFrame, *, shingle: int = SHINGLE, minima: int = MINIMA, seed: int = 5) -> DataFrame:
+    """(h, c, m0, m1, ...): how often each distinct line occurs, and its minima."""
     rng = random.Random(seed)
     raw = lines.select("h", F.encode("line", "utf-8").alias("b")).withColumn("n", _positions(F.col("b"), shingle))
-    at = raw.select("h", "b", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    x = at.select("h", "n", F.hash(F.substring("b", F.col("i"), F.lit(shingle))).alias("x"))
-    whole, part = F.col("n") < SHORT, (F.col("n") >= LONG) & (F.col("x").bitwiseAND(F.lit(3)) == 0)
-    kinds = F.when(whole & part, F.array(F.lit(0), F.lit(1))).when(whole, F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
-    x = x.where(whole | part).withColumn("kind", F.explode(kinds))
-    minima = [F.min(F.col("x").bitwiseXOR(F.lit(rng.getrandbits(31) - 2**30))).alias(f"m{j}") for j in range(rows * bands)]
-    return x.groupBy("h", "kind").agg(*minima)
+    at = raw.select("h", "b", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    x = at.select("h", "i", F.hash(F.substring("b", F.col("i"), F.lit(shingle))).alias("x"))
+    least = [F.min(F.col("x").bitwiseXOR(F.lit(rng.getrandbits(32) - 2**31).cast("int"))).alias(f"m{j}") for j in range(minima)]
+    return x.groupBy("h").agg(F.count_if(F.col("i") == 1).alias("c"), *least)
+
+
+def banded(signed: DataFrame, bands: tuple = BANDS) -> DataFrame:
+    """(band, h, c)."""
+    keys = F.array(*[F.xxhash64(F.lit(j), *[f"m{i}" for i in triple]) for j, triple in enumerate(bands)])
+    return signed.select("h", "c", F.explode(keys).alias("band"))
 
 
-def banded(signed: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(band, h)."""
-    keys = F.array(*[F.xxhash64(F.lit(j), "kind", *[f"m{rows * j + i}" for i in range(rows)]) for j in range(bands)])
-    return signed.select("h", F.explode(keys).alias("band"))
+def _among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose long column is one of `ids` (v); a filter of fixed size keeps most others from being shuffled."""
+    place = lambda c: {"_row": F.pmod(F.xxhash64(c), F.lit(_BUCKETS)), "_spot": F.pmod(F.xxhash64(F.lit(2), c), F.lit(32768))}
+    bits = ids.withColumns(place("v")).groupBy("_row").agg(F.bitmap_construct_agg("_spot").alias("_bits"))  # _BUCKETS rows of 4 KB
+    near = rows.withColumns(place(column)).join(F.broadcast(bits), "_row")
+    near = near.where("shiftright(cast(conv(hex(substring(_bits, cast(_spot div 8 as int) + 1, 1)), 16, 10) as int), cast(_spot % 8 as int)) & 1 = 1")
+    return near.select(*rows.columns).join(ids, F.col(column) == F.col("v"), "left_semi")
 
 
-def _stars(in_bands: DataFrame) -> DataFrame:
-    """(band, a, b): each member b of a band's group but the least, a."""
-    least = in_bands.groupBy("band").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z").select(F.col("band").alias("e"), "a")
-    return in_bands.join(least.hint("shuffle_hash"), F.col("band") == F.col("e")).where("h > a").select("band", "a", F.col("h").alias("b"))
+def _members(in_bands: DataFrame) -> DataFrame:
+    """(band, h, a): the members of groups of two lines or more, with their pivot."""
+    several = cut(in_bands.groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x < y").select(F.col("band").alias("v")))
+    members = cut(_among(in_bands, "band", several))
+    pivots = members.groupBy("band").agg(F.max(F.struct("c", "h")).alias("p")).select(F.col("band").alias("e"), F.col("p.h").alias("a"))
+    return cut(members.join(pivots, F.col("band") == F.col("e")).select("band", "h", "a"))
 
 
 def _texts(lines: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(h, b, n): the bytes and shingle positions of the lines with the given hashes; a filter of fixed size keeps most others from being shuffled."""
-    row, spot = F.pmod(F.xxhash64("h"), F.lit(_BUCKETS)), F.pmod(F.xxhash64(F.lit(2), "h"), F.lit(32768))
-    bits = ids.groupBy(row.alias("row")).agg(F.bitmap_construct_agg(spot).alias("bits"))  # _BUCKETS rows of 4 KB
-    near = lines.select("h", "line").withColumns({"row": row, "spot": spot}).join(F.broadcast(bits), "row")
-    near = near.where("shiftright(cast(conv(hex(substring(bits, cast(spot div 8 as int) + 1, 1)), 16, 10) as int), cast(spot % 8 as int)) & 1 = 1")
-    found = near.select("h", "line").join(ids.withColumnRenamed("h", "i"), F.col("h") == F.col("i"), "left_semi").groupBy("h").agg(F.max("line").alias("line"))
+    """(h, b, n): the bytes and shingle positions of the lines with the given hashes."""
+    found = _among(lines.select("h", "line"), "h", ids).groupBy("h").agg(F.max("line").alias("line"))
     return found.select("h", F.encode("line", "utf-8").alias("b")).withColumn("n", _positions(F.col("b"), shingle))
 
 
@@ -93,61 +101,74 @@ def _shingles(raw: Column, shingle: int) -> Column:
     return F.transform(F.array(raw), lambda r: F.array_distinct(F.transform(F.sequence(F.lit(1), _positions(r, shingle)), lambda i: F.xxhash64(F.substring(r, i, F.lit(shingle))))))[0]
 
 
-def _similar(nx: Column, x: Column, ny: Column, y: Column, percent: int) -> Column:
+def _similar(x: Column, y: Column, percent: int) -> Column:
     c = F.size(F.array_intersect(x, y))
-    fits = (F.least(nx, ny) * 100 >= SHORTER * F.greatest(nx, ny)) & (F.least(F.size(x), F.size(y)) * 100 >= percent * F.greatest(F.size(x), F.size(y)))
-    return F.when(fits, c * 100 >= percent * (F.size(x) + F.size(y) - c)).otherwise(F.lit(False))
+    return F.when(F.least(F.size(x), F.size(y)) * 100 >= percent * F.greatest(F.size(x), F.size(y)), c * 100 >= percent * (F.size(x) + F.size(y) - c)).otherwise(F.lit(False))
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The linked ones of distinct pairs (a, b)."""
-    sides = [texts.select(F.col("h").alias(c), F.col("n").alias(f"n{c}"), F.col("b").alias(f"b{c}")) for c in ("a", "b")]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("na", "nb") * 100 >= SHORTER * F.greatest("na", "nb"))
-    sets = both.select("a", "b", "na", "nb", _shingles(F.col("ba"), shingle).alias("sa"), _shingles(F.col("bb"), shingle).alias("sb"))
-    return sets.where(_similar(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), percent)).select("a", "b")
-
-
-def _others(stars: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The links, across components, of members outside the component of their group's least member with all members. Compared inside blocks of bounded size, which give back links only."""
-    roots = found.select(F.col("id").alias("v"), "root")
-    told = stars.join(roots.withColumnRenamed("v", "a").withColumnRenamed("root", "ra"), "a", "left").join(roots.withColumnRenamed("v", "b").withColumnRenamed("root", "rb"), "b", "left")
-    told = told.select("band", "a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-    split = told.join(told.where("ra <> rb").select("band").distinct(), "band")
-    members = split.select("band", F.col("a").alias("h"), F.col("ra").alias("root"), F.col("ra").alias("head")).union(split.select("band", "b", "rb", "ra")).distinct()
-    members = members.join(texts.select(F.col("h").alias("v"), "n"), F.col("h") == F.col("v")).drop("v")
-    sized = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).select(F.col("band").alias("g"), F.ceil(F.greatest(F.col("c") / BLOCK, F.col("t") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    held = members.join(sized, F.col("band") == F.col("g")).withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    sides = [texts.select(F.col("h").alias(c), F.col("b").alias(f"b{c}")) for c in ("a", "b")]
+    sets = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", _shingles(F.col("ba"), shingle).alias("sa"), _shingles(F.col("bb"), shingle).alias("sb"))
+    return sets.where(_similar(F.col("sa"), F.col("sb"), percent)).select("a", "b")
+
+
+def _bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
+    """(v, bits): for each line, 64 * WORDS bits, set where a shingle's hash falls."""
+    at = texts.select("h", "b", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    x = at.select("h", F.hash(F.substring("b", F.col("i"), F.lit(shingle))).alias("x"))
+    x = x.select("h", F.pmod(F.shiftrightunsigned("x", 6), F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, x & 63)").alias("bit"))
+    words = x.groupBy("h", "word").agg(F.bit_or("bit").alias("bits")).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))  # WORDS entries
+    return words.select(F.col("h").alias("v"), F.array(*[F.coalesce(F.col("m")[j], F.lit(0).cast("long")) for j in range(WORDS)]).alias("bits"))
+
+
+def _others(members: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The links (a, b) between components that hold members of one group, of members outside the pivot's component with all others. Compared inside blocks of bounded size."""
+    roots = cut(found.select(F.col("id").alias("v"), "root"))
+    told = members.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("v").alias("h"), F.col("root").alias("rh")), "h", "left")
+    told = cut(told.select("band", "h", F.coalesce("rh", "h").alias("root"), F.coalesce("ra", "a").alias("head")))
+    # A group of two has been compared; one whose members are all of the pivot's component has nothing left.
+    left = told.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("root") != F.col("head")).alias("o")).where("c > 2 and o > 0").select(F.col("band").alias("g"))
+    held = cut(told.join(left, F.col("band") == F.col("g"), "left_semi"))
+    own = cut(_among(texts, "h", held.select(F.col("h").alias("v")).distinct()))
+    known = cut(own.join(_bitmaps(own, shingle), F.col("h") == F.col("v")).select("v", "b", "n", "bits"))
+    held = held.join(known.select("v", "n"), F.col("h") == F.col("v")).drop("v")
+    sized = held.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).select(F.col("band").alias("g"), F.ceil(F.greatest(F.col("c") / BLOCK, F.col("t") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    held = held.join(sized, F.col("band") == F.col("g")).withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     first = held.where("root <> head").select("band", "h", "root", F.lit(1).alias("side"), F.col("own").alias("i"), every.alias("j"))
     second = held.select("band", "h", "root", F.lit(2).alias("side"), every.alias("i"), F.col("own").alias("j"))
-    dealt = first.union(second).join(texts.select(F.col("h").alias("v"), "n", "b"), F.col("h") == F.col("v"))
-    one = F.struct("h", "root", "n", "b")
+    dealt = first.union(second).join(known, F.col("h") == F.col("v"))
+    one = F.struct("root", "b", "bits")
     blocks = dealt.groupBy("band", "i", "j").agg(F.collect_list(F.when(F.col("side") == 1, one)).alias("x"), F.collect_list(F.when(F.col("side") == 2, one)).alias("y"))
-    # Each member's set is made once in a block.
-    whole = lambda p: F.struct(p["h"].alias("h"), p["root"].alias("root"), p["n"].alias("n"), _shingles(p["b"], shingle).alias("s"))
-    fits = lambda p, q: (p["root"] != q["root"]) & _similar(p["n"], p["s"], q["n"], q["s"], percent)
-    link = lambda p, q: F.struct(F.least(p["h"], q["h"]).alias("a"), F.greatest(p["h"], q["h"]).alias("b"))
-    met = lambda m: F.flatten(F.transform(m["x"], lambda p: F.transform(F.filter(m["y"], lambda q: fits(p, q)), lambda q: link(p, q))))
+    # Each member's set is made once in a block. Sets of that similarity differ in at most (100 - percent) of (100 + percent) of their sizes' sum.
+    whole = lambda p: F.struct(p["root"].alias("root"), p["bits"].alias("bits"), _shingles(p["b"], shingle).alias("s"))
+    differ = lambda p, q, n: reduce(add, [F.bit_count(p["bits"][j].bitwiseXOR(q["bits"][j])) for j in range(n)]) * (100 + percent)
+    most = lambda p, q: (100 - percent) * (F.size(p["s"]) + F.size(q["s"]))
+    near = lambda p, q: (differ(p, q, WORDS // 8) <= most(p, q)) & (differ(p, q, WORDS) <= most(p, q))
+    fits = lambda p, q: F.when((p["root"] != q["root"]) & near(p, q), _similar(p["s"], q["s"], percent)).otherwise(F.lit(False))
+    link = lambda p, q: F.struct(F.least(p["root"], q["root"]).alias("a"), F.greatest(p["root"], q["root"]).alias("b"))
+    met = lambda m: F.flatten(F.transform(m["x"], lambda p: F.array_distinct(F.transform(F.filter(m["y"], lambda q: fits(p, q)), lambda q: link(p, q)))))
     # Bound to a variable, the sets are not made anew for each comparison.
     links = F.transform(F.array(F.struct(F.transform("x", whole).alias("x"), F.transform("y", whole).alias("y"))), met)[0]
     return blocks.select(F.explode(F.array_distinct(links)).alias("l")).select("l.a", "l.b").distinct()
 
 
-def linked_lines(lines: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def linked_lines(lines: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, minima: int = MINIMA, bands: tuple = BANDS) -> DataFrame:
     """(id, root) of the hashes of linked lines that are not the least of their component."""
-    stars = cut(_stars(banded(signatures(lines, shingle=shingle, rows=rows, bands=bands), rows, bands)))
-    ids = cut(stars.select(F.explode(F.array("a", "b")).alias("h")).distinct())
-    texts = cut(_texts(lines, ids, shingle))
-    links = cut(_compared(stars.select("a", "b").distinct(), texts, shingle, percent))
+    members = _members(banded(signatures(lines, shingle=shingle, minima=minima), bands))
+    pairs = members.where("h <> a").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
+    texts = cut(_texts(lines, members.select(F.col("h").alias("v")).distinct(), shingle))
+    links = cut(_compared(pairs, texts, shingle, percent))
     found = components(links)
-    more = cut(_others(stars, found, texts, shingle, percent))
+    more = cut(_others(members, found, texts, shingle, percent))
     return found if more.isEmpty() else components(links.union(more))
 
 
-def deduplicate(documents: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def deduplicate(documents: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, minima: int = MINIMA, bands: tuple = BANDS) -> DataFrame:
     """One row per line that holds a word: key, line_no (from 0), first_key and first_line (where its component is first seen), kept."""
     lines = lines_of(documents, text=text, key=key)
-    found = linked_lines(lines, shingle=shingle, percent=percent, rows=rows, bands=bands)
+    found = linked_lines(lines, shingle=shingle, percent=percent, minima=minima, bands=bands)
     place = F.col("k").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("no")
     told = lines.select("k", "no", "h", "g")
     kinds = told.groupBy("h").agg(F.min("g").alias("g"))
