@@ -39,8 +39,8 @@ def op5_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    found = fixity.audit(*fixity.plant(fixity.manifest(pages), fixity.manifest(fixity.damaged(pages))))
-    return found.select(F.col("key").alias("page_id"), "url", "status", "offset_a", "length_a", "digest_a", "digest_b")
+    found = fixity.audit(fixity.plant(fixity.manifest(pages), fixity.manifest(fixity.damaged(pages))))
+    return found.select(F.col("key").alias("page_id"), "url", "status", *[f"{c}_{side}" for c in ("offset", "length", "copies", "digest") for side in "ab"])
 
 
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

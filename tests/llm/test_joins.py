@@ -180,13 +180,57 @@ def test_fixity_finds_every_difference(spark):
     other = [r if r[0] != 600 else (600, r[1], "<p>bad</p>") for r in rows if r[0] != 3000] + [(7001, "new", "page")]
     first, second = (fixity.manifest(spark.createDataFrame(r, schema).withColumn("key", F.lit("clash"))) for r in (rows, other))
     trees = fixity.plant(first, second, limit=100)
-    assert trees[0].root() != trees[1].root()
-    found = {(r.key, r.status) for r in fixity.audit(*trees).where("status <> 'moved'").collect()}
+    assert trees.root(1) != trees.root(2)
+    found = {(r.key, r.status) for r in fixity.audit(trees).where("status <> 'moved'").collect()}
     assert found == {(600, "changed"), (3000, "missing"), (7001, "extra")}
     same = fixity.plant(first, first)
-    assert same[0].root() == same[1].root() and fixity.audit(*same).count() == 0
+    assert same.root(1) == same.root(2) and fixity.audit(same).count() == 0
     empty = fixity.manifest(spark.createDataFrame([], schema))
-    assert fixity.audit(*fixity.plant(empty, empty)).count() == 0
+    assert fixity.audit(fixity.plant(empty, empty)).count() == 0
+    assert {r.status for r in fixity.audit(fixity.plant(first, empty)).collect()} == {"missing"}
+
+
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_fixity_against_brute_force(spark, limit):
+    """All statuses, copies and offsets; hot keys and buckets split over volumes; a very long page; a clashing column."""
+    rng = random.Random(4)
+    schema = "page_id long, url string, html string"
+    rows = [(rng.choice([None, -3, *range(40), *range(2000, 2030)]), rng.choice([None, "u", "v"]), f"<p>{rng.randrange(4)}</p>") for _ in range(300)]
+    rows += [(7, "u", f"hot {i}") for i in range(30)] + [(8, "u", "long " * 300_000)]
+    other = [(k, u, h if rng.random() < 0.9 else h + "!") for k, u, h in rows if rng.random() < 0.9] + rng.choices(rows, k=10)
+    frames = [fixity.manifest(spark.createDataFrame(r, schema).withColumn("digest", F.lit("clash"))) for r in (rows, other)]
+    trees = fixity.plant(*frames, limit=limit)
+    got = fixity.audit(trees).collect()
+    held = [collections.Counter((k, u or "", h) for k, u, h in r) for r in (rows, other)]
+    less, more = collections.defaultdict(int), collections.defaultdict(int)
+    surplus = [collections.Counter(), collections.Counter()]
+    for (k, u, h), n in (held[0] - held[1]).items():
+        less[k, u] += 1
+        surplus[0][k, u] += n
+    for (k, u, h), n in (held[1] - held[0]).items():
+        more[k, u] += 1
+        surplus[1][k, u] += n
+    expected = collections.Counter()
+    for place in {*less, *more}:
+        both = min(less[place], more[place])
+        for status, n in (("changed", both), ("missing", less[place] - both), ("extra", more[place] - both)):
+            if n:
+                expected[(*place, status)] = n
+    assert collections.Counter((r.key, r.url, r.status) for r in got if r.status != "moved") == expected
+    for side, name in ((0, "copies_a"), (1, "copies_b")):
+        told = collections.Counter()
+        for r in got:
+            if r.status != "moved" and r[name]:
+                told[r.key, r.url] += r[name]
+        assert told == surplus[side]
+    places = {(r.side, r.bucket, r.part, r.offset) for r in trees.leaves.collect()}
+    assert len(places) == trees.leaves.count()
+    sizes = trees.leaves.groupBy("side", "bucket", "part").count().agg(F.max("count")).first()[0]
+    assert limit > 100 or sizes < 60
+    if limit > 100:
+        moved = {(r.key, r.url, r.digest_a): (r.offset_a, r.offset_b) for r in got if r.status == "moved"}
+        at = [{(r.key, r.url, r.digest): r.offset for r in trees.leaves.where(F.col("side") == s).collect()} for s in (1, 2)]
+        assert moved == {k: (v, at[1][k]) for k, v in at[0].items() if k in at[1] and at[1][k] != v} and moved
 
 
 def test_targets_share_the_excess():
