@@ -33,7 +33,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import cut
+from locusloom.llm.common import cut, stored
 from locusloom.llm.components import components
 
 SHINGLE, PERCENT = 9, 80
@@ -74,20 +74,20 @@ def banded(signed: DataFrame, bands: tuple = BANDS) -> DataFrame:
 
 
 def _among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows whose long column is one of `ids` (v); a filter of fixed size keeps most others from being shuffled."""
+    """The rows whose long column is one of the distinct `ids` (v); a filter of fixed size keeps most others from being shuffled. The join is an inner one, since a semi-join would be pushed below the filter."""
     place = lambda c: {"_row": F.pmod(F.xxhash64(c), F.lit(_BUCKETS)), "_spot": F.pmod(F.xxhash64(F.lit(2), c), F.lit(32768))}
     bits = ids.withColumns(place("v")).groupBy("_row").agg(F.bitmap_construct_agg("_spot").alias("_bits"))  # _BUCKETS rows of 4 KB
     near = rows.withColumns(place(column)).join(F.broadcast(bits), "_row")
     near = near.where("shiftright(cast(conv(hex(substring(_bits, cast(_spot div 8 as int) + 1, 1)), 16, 10) as int), cast(_spot % 8 as int)) & 1 = 1")
-    return near.select(*rows.columns).join(ids, F.col(column) == F.col("v"), "left_semi")
+    return near.select(*rows.columns).join(ids, F.col(column) == F.col("v")).drop("v")
 
 
 def _members(in_bands: DataFrame) -> DataFrame:
     """(band, h, a): the members of groups of two lines or more, with their pivot."""
-    several = cut(in_bands.groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x < y").select(F.col("band").alias("v")))
-    members = cut(_among(in_bands, "band", several))
+    several = stored(in_bands.groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x < y").select(F.col("band").alias("v")))
+    members = stored(_among(in_bands, "band", several))
     pivots = members.groupBy("band").agg(F.max(F.struct("c", "h")).alias("p")).select(F.col("band").alias("e"), F.col("p.h").alias("a"))
-    return cut(members.join(pivots, F.col("band") == F.col("e")).select("band", "h", "a"))
+    return stored(members.join(pivots, F.col("band") == F.col("e")).select("band", "h", "a"))
 
 
 def _texts(lines: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -126,19 +126,21 @@ def _others(members: DataFrame, found: DataFrame, texts: DataFrame, shingle: int
     """The links (a, b) between components that hold members of one group, of members outside the pivot's component with all others. Compared inside blocks of bounded size."""
     roots = cut(found.select(F.col("id").alias("v"), "root"))
     told = members.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("v").alias("h"), F.col("root").alias("rh")), "h", "left")
-    told = cut(told.select("band", "h", F.coalesce("rh", "h").alias("root"), F.coalesce("ra", "a").alias("head")))
+    told = stored(told.select("band", "h", F.coalesce("rh", "h").alias("root"), F.coalesce("ra", "a").alias("head")))
     # A group of two has been compared; one whose members are all of the pivot's component has nothing left.
     left = told.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("root") != F.col("head")).alias("o")).where("c > 2 and o > 0").select(F.col("band").alias("g"))
-    held = cut(told.join(left, F.col("band") == F.col("g"), "left_semi"))
-    own = cut(_among(texts, "h", held.select(F.col("h").alias("v")).distinct()))
-    known = cut(own.join(_bitmaps(own, shingle), F.col("h") == F.col("v")).select("v", "b", "n", "bits"))
+    held = stored(told.join(left, F.col("band") == F.col("g"), "left_semi"))
+    own = stored(_among(texts, "h", held.select(F.col("h").alias("v")).distinct()))
+    known = stored(own.join(_bitmaps(own, shingle), F.col("h") == F.col("v")).select("v", "b", "n", "bits"))
     held = held.join(known.select("v", "n"), F.col("h") == F.col("v")).drop("v")
     sized = held.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).select(F.col("band").alias("g"), F.ceil(F.greatest(F.col("c") / BLOCK, F.col("t") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     held = held.join(sized, F.col("band") == F.col("g")).withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     first = held.where("root <> head").select("band", "h", "root", F.lit(1).alias("side"), F.col("own").alias("i"), every.alias("j"))
     second = held.select("band", "h", "root", F.lit(2).alias("side"), every.alias("i"), F.col("own").alias("j"))
-    dealt = first.union(second).join(known, F.col("h") == F.col("v"))
+    # Few bytes but much work: a fixed number of partitions, which adaptive execution doesn't make fewer.
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = first.union(second).join(known, F.col("h") == F.col("v")).repartition(tasks, "band", "i", "j")
     one = F.struct("root", "b", "bits")
     blocks = dealt.groupBy("band", "i", "j").agg(F.collect_list(F.when(F.col("side") == 1, one)).alias("x"), F.collect_list(F.when(F.col("side") == 2, one)).alias("y"))
     # Each member's set is made once in a block. Sets of that similarity differ in at most (100 - percent) of (100 + percent) of their sizes' sum.
@@ -156,9 +158,9 @@ def _others(members: DataFrame, found: DataFrame, texts: DataFrame, shingle: int
 
 def linked_lines(lines: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, minima: int = MINIMA, bands: tuple = BANDS) -> DataFrame:
     """(id, root) of the hashes of linked lines that are not the least of their component."""
-    members = _members(banded(signatures(lines, shingle=shingle, minima=minima), bands))
+    members = _members(banded(stored(signatures(lines, shingle=shingle, minima=minima)), bands))
     pairs = members.where("h <> a").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
-    texts = cut(_texts(lines, members.select(F.col("h").alias("v")).distinct(), shingle))
+    texts = stored(_texts(lines, members.select(F.col("h").alias("v")).distinct(), shingle))
     links = cut(_compared(pairs, texts, shingle, percent))
     found = components(links)
     more = cut(_others(members, found, texts, shingle, percent))
