@@ -45,6 +45,25 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of 4 KB at most in the filter of sieve(), whatever the input.
+_BUCKETS = 1024
+
+
+def sieve(rows: DataFrame, column: str, ids: DataFrame, apart: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """The rows whose long column may be one of `ids` (v): a bitmap of fixed size, sent to all tasks, keeps most others from being shuffled. apart: the others, too."""
+    place = lambda c: {"_row": F.pmod(F.xxhash64(c), F.lit(_BUCKETS)), "_spot": F.pmod(F.xxhash64(F.lit(2), c), F.lit(32768))}
+    bits = ids.withColumns(place("v")).groupBy("_row").agg(F.bitmap_construct_agg("_spot").alias("_bits"))
+    test = F.expr("shiftright(cast(conv(hex(substring(_bits, cast(_spot div 8 as int) + 1, 1)), 16, 10) as int), cast(_spot % 8 as int)) & 1 = 1")
+    met = rows.withColumns(place(column)).join(F.broadcast(bits), "_row", "left" if apart else "inner")
+    near = met.where(test).select(*rows.columns)
+    return (near, met.where(~F.coalesce(test, F.lit(False))).select(*rows.columns)) if apart else near
+
+
+def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose long column is one of the distinct `ids` (v). The join is an inner one, since a semi-join would be pushed below the filter."""
+    return sieve(rows, column, ids).join(ids, F.col(column) == F.col("v")).drop("v")
+
+
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key's text modulo n; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n

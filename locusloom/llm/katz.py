@@ -41,7 +41,7 @@ from locusloom.llm.common import byte_words, cut, lowered, mixed, slices, word_h
 FREQUENT, SHARE = 2.0**-17, 0.0
 DISCOUNTED = 5
 #: Characters whose tokens are packed together, and training tokens for which there is one part.
-CHARS, TOKENS = 8_000_000, 4_000_000
+CHARS, TOKENS = 8_000_000, 2_000_000
 #: Parts that one task takes, one after another; its sums by document are added up before they are sent, so many at a time.
 TASK, HELD = 4, 2_000_000
 _END, _BEGIN = np.uint64(0x5E17D0C0FFEE0001), np.uint64(0x5E17D0C0FFEE0002)

@@ -10,8 +10,8 @@ Each band is a triple of minima; lines that agree in one are candidates. Equal l
 1. Every member of a band's group is compared with the group's pivot, its most frequent line: of near copies that is mostly the one
    that they were made from, so one comparison each links nearly all of them.
 2. Members outside the pivot's component are then compared with all members of other components in the group, in blocks
-   of bounded size. Two lower bounds go before the sets: the sizes, and the number of bits in which two bitmaps of the
-   shingles differ, which the sets differ in at least. Blocks give back pairs of components, not of lines.
+   of bounded size. A bound goes before the sets: the number of bits in which two bitmaps of the shingles differ, which the sets
+   differ in at least. Blocks give back pairs of components, not of lines.
 
 Comparison is exact: Jaccard similarity of the shingle sets of at least `percent` hundredths. Components of linked lines are found
 by alternating stars; the first line of each, by key and line number, is kept.
@@ -33,7 +33,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import cut, stored
+from locusloom.llm.common import among, cut, sieve, stored
 from locusloom.llm.components import components
 
 SHINGLE, PERCENT = 9, 80
@@ -41,10 +41,8 @@ SHINGLE, PERCENT = 9, 80
 MINIMA = 12
 BANDS = ((4, 7, 10), (0, 3, 9), (2, 6, 8), (1, 5, 11), (2, 3, 10), (1, 5, 7), (0, 4, 6), (8, 9, 11))
 #: Members of a block, and their shingles, about; words of 64 bits in a bitmap of shingles.
-BLOCK, BLOCK_SHINGLES, WORDS = 512, 400_000, 64
+BLOCK, BLOCK_SHINGLES, WORDS = 512, 400_000, 32
 _HAS_WORD = r"[^\x20\x09-\x0D]"
-#: Buckets of the filter that picks rows before a shuffle: so many rows of 4 KB at most, whatever the input.
-_BUCKETS = 1024
 
 
 def lines_of(documents: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -73,26 +71,17 @@ def banded(signed: DataFrame, bands: tuple = BANDS) -> DataFrame:
     return signed.select("h", "c", F.explode(keys).alias("band"))
 
 
-def _among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows whose long column is one of the distinct `ids` (v); a filter of fixed size keeps most others from being shuffled. The join is an inner one, since a semi-join would be pushed below the filter."""
-    place = lambda c: {"_row": F.pmod(F.xxhash64(c), F.lit(_BUCKETS)), "_spot": F.pmod(F.xxhash64(F.lit(2), c), F.lit(32768))}
-    bits = ids.withColumns(place("v")).groupBy("_row").agg(F.bitmap_construct_agg("_spot").alias("_bits"))  # _BUCKETS rows of 4 KB
-    near = rows.withColumns(place(column)).join(F.broadcast(bits), "_row")
-    near = near.where("shiftright(cast(conv(hex(substring(_bits, cast(_spot div 8 as int) + 1, 1)), 16, 10) as int), cast(_spot % 8 as int)) & 1 = 1")
-    return near.select(*rows.columns).join(ids, F.col(column) == F.col("v")).drop("v")
-
-
 def _members(in_bands: DataFrame) -> DataFrame:
     """(band, h, a): the members of groups of two lines or more, with their pivot."""
     several = stored(in_bands.groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x < y").select(F.col("band").alias("v")))
-    members = stored(_among(in_bands, "band", several))
+    members = stored(among(in_bands, "band", several))
     pivots = members.groupBy("band").agg(F.max(F.struct("c", "h")).alias("p")).select(F.col("band").alias("e"), F.col("p.h").alias("a"))
     return stored(members.join(pivots, F.col("band") == F.col("e")).select("band", "h", "a"))
 
 
 def _texts(lines: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(h, b, n): the bytes and shingle positions of the lines with the given hashes."""
-    found = _among(lines.select("h", "line"), "h", ids).groupBy("h").agg(F.max("line").alias("line"))
+    found = among(lines.select("h", "line"), "h", ids).groupBy("h").agg(F.max("line").alias("line"))
     return found.select("h", F.encode("line", "utf-8").alias("b")).withColumn("n", _positions(F.col("b"), shingle))
 
 
@@ -130,29 +119,40 @@ def _others(members: DataFrame, found: DataFrame, texts: DataFrame, shingle: int
     # A group of two has been compared; one whose members are all of the pivot's component has nothing left.
     left = told.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("root") != F.col("head")).alias("o")).where("c > 2 and o > 0").select(F.col("band").alias("g"))
     held = stored(told.join(left, F.col("band") == F.col("g"), "left_semi"))
-    own = stored(_among(texts, "h", held.select(F.col("h").alias("v")).distinct()))
-    known = stored(own.join(_bitmaps(own, shingle), F.col("h") == F.col("v")).select("v", "b", "n", "bits"))
+    own = stored(among(texts, "h", held.select(F.col("h").alias("v")).distinct()))
+    known = stored(own.join(_bitmaps(own, shingle), F.col("h") == F.col("v")).select("v", "b", F.size(_shingles(F.col("b"), shingle)).alias("n"), "bits"))
     held = held.join(known.select("v", "n"), F.col("h") == F.col("v")).drop("v")
     sized = held.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).select(F.col("band").alias("g"), F.ceil(F.greatest(F.col("c") / BLOCK, F.col("t") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     held = held.join(sized, F.col("band") == F.col("g")).withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    first = held.where("root <> head").select("band", "h", "root", F.lit(1).alias("side"), F.col("own").alias("i"), every.alias("j"))
-    second = held.select("band", "h", "root", F.lit(2).alias("side"), every.alias("i"), F.col("own").alias("j"))
+    # Side 1 holds the members outside the pivot's component; in a block on the diagonal they are found in side 2.
+    first = held.where("root <> head").select("band", "h", "root", "head", F.lit(1).alias("side"), F.col("own").alias("i"), every.alias("j")).where("i <> j")
+    second = held.select("band", "h", "root", "head", F.lit(2).alias("side"), every.alias("i"), F.col("own").alias("j"))
     # Few bytes but much work: a fixed number of partitions, which adaptive execution doesn't make fewer.
     tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = first.union(second).join(known, F.col("h") == F.col("v")).repartition(tasks, "band", "i", "j")
-    one = F.struct("root", "b", "bits")
+    one = F.struct("root", "n", "b", "bits", (F.col("root") != F.col("head")).alias("out"))
     blocks = dealt.groupBy("band", "i", "j").agg(F.collect_list(F.when(F.col("side") == 1, one)).alias("x"), F.collect_list(F.when(F.col("side") == 2, one)).alias("y"))
-    # Each member's set is made once in a block. Sets of that similarity differ in at most (100 - percent) of (100 + percent) of their sizes' sum.
-    whole = lambda p: F.struct(p["root"].alias("root"), p["bits"].alias("bits"), _shingles(p["b"], shingle).alias("s"))
-    differ = lambda p, q, n: reduce(add, [F.bit_count(p["bits"][j].bitwiseXOR(q["bits"][j])) for j in range(n)]) * (100 + percent)
-    most = lambda p, q: (100 - percent) * (F.size(p["s"]) + F.size(q["s"]))
-    near = lambda p, q: (differ(p, q, WORDS // 8) <= most(p, q)) & (differ(p, q, WORDS) <= most(p, q))
-    fits = lambda p, q: F.when((p["root"] != q["root"]) & near(p, q), _similar(p["s"], q["s"], percent)).otherwise(F.lit(False))
+    blocks = blocks.select(F.when(F.col("i") == F.col("j"), F.filter("y", lambda p: p["out"])).otherwise(F.col("x")).alias("x"), "y")
+    # Rows as they were read unpack a field at each access; structs made here don't.
+    opened = lambda m: F.struct(*[F.transform(m[c], lambda p: F.struct(*[p[f].alias(f) for f in ("root", "n", "b", "bits")])).alias(c) for c in ("x", "y")])
+    # Sets of that similarity differ in at most (100 - percent) of (100 + percent) of their sizes' sum.
+    differ = lambda p, q: reduce(add, [F.bit_count(p["bits"][j].bitwiseXOR(q["bits"][j])) for j in range(WORDS)]) * (100 + percent)
+    alike = lambda p, q: (p["root"] != q["root"]) & (p["n"] * 100 >= q["n"] * percent) & (q["n"] * 100 >= p["n"] * percent)
+    near = lambda p, q: alike(p, q) & (differ(p, q) <= (100 - percent) * (p["n"] + q["n"]))
+    # Places in y of the lines that these bounds leave for each of x; sets are made once in a block, and only for these.
+    places = lambda m, p: F.filter(F.transform(m["y"], lambda q, i: F.when(near(p, q), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+    placed = lambda m: F.struct(F.filter(F.transform(m["x"], lambda p: F.struct(p["root"].alias("root"), p["b"].alias("b"), places(m, p).alias("c"))), lambda p: F.size(p["c"]) > 0).alias("x"), m["y"].alias("y"))
+    asked = lambda m: F.struct(m["x"].alias("x"), m["y"].alias("y"), F.array_distinct(F.flatten(F.transform(m["x"], lambda p: p["c"]))).alias("need"))
+    none = F.array().cast("array<bigint>")
+    in_x = lambda p: F.struct(p["root"].alias("root"), p["c"].alias("c"), _shingles(p["b"], shingle).alias("s"))
+    in_y = lambda m: lambda q, i: F.struct(q["root"].alias("root"), F.when(F.array_contains(m["need"], i), _shingles(q["b"], shingle)).otherwise(none).alias("s"))
+    held_sets = lambda m: F.struct(F.transform(m["x"], in_x).alias("x"), F.transform(m["y"], in_y(m)).alias("y"))
     link = lambda p, q: F.struct(F.least(p["root"], q["root"]).alias("a"), F.greatest(p["root"], q["root"]).alias("b"))
-    met = lambda m: F.flatten(F.transform(m["x"], lambda p: F.array_distinct(F.transform(F.filter(m["y"], lambda q: fits(p, q)), lambda q: link(p, q)))))
-    # Bound to a variable, the sets are not made anew for each comparison.
-    links = F.transform(F.array(F.struct(F.transform("x", whole).alias("x"), F.transform("y", whole).alias("y"))), met)[0]
+    met = lambda m: F.flatten(F.transform(m["x"], lambda p: F.array_distinct(F.transform(F.filter(p["c"], lambda i: _similar(p["s"], m["y"][i]["s"], percent)), lambda i: link(p, m["y"][i])))))
+    links = F.struct("x", "y")
+    for step in (opened, placed, asked, held_sets, met):  # each step's result is bound to a variable, so that it is made once
+        links = F.transform(F.array(links), step)[0]
     return blocks.select(F.explode(F.array_distinct(links)).alias("l")).select("l.a", "l.b").distinct()
 
 
@@ -172,17 +172,22 @@ def deduplicate(documents: DataFrame, *, text: str = "text", key: str = "doc_id"
     lines = lines_of(documents, text=text, key=key)
     found = linked_lines(lines, shingle=shingle, percent=percent, minima=minima, bands=bands)
     place = F.col("k").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("no")
-    told = lines.select("k", "no", "h", "g")
-    kinds = told.groupBy("h").agg(F.min("g").alias("g"))
-    first = told.groupBy("h", "g").agg(F.min(place).alias("at"))
-    mine = first.join(kinds.select(F.col("h").alias("i"), F.col("g").alias("d")), F.col("h") == F.col("i")).join(found, F.col("h") == F.col("id"), "left")
-    mine = mine.select("h", "g", "at", F.when(F.col("g") == F.col("d"), F.coalesce("root", "h")).alias("root"))
+    told = stored(lines.select("k", "no", "h", "g"))
+    first = told.groupBy("h", "g").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("c"))
+    members = found.select(F.col("id").alias("v"), "root").union(found.select(F.col("root").alias("v"), "root").distinct())
+    # Only lines that occur again or are linked have a head elsewhere.
+    again = stored(first.join(members, F.col("h") == F.col("v"), "left").where("c > 1 or root is not null").drop("v", "c"))
+    kinds = again.where("root is not null").groupBy(F.col("h").alias("i")).agg(F.min("g").alias("d"))
+    mine = again.join(kinds, F.col("h") == F.col("i"), "left").select("h", "g", "at", F.when(F.col("g") == F.col("d"), F.col("root")).alias("root"))
     roots = mine.where("root is not null").groupBy("root").agg(F.min("at").alias("head")).withColumnRenamed("root", "r")
     heads = mine.join(roots, F.col("root") == F.col("r"), "left").select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.coalesce("head", "at").alias("head"))
-    out = told.join(heads, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")))
+    near, far = sieve(told, "h", again.select(F.col("h").alias("v")), apart=True)
+    out = near.join(heads, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")), "left").select("k", "no", "head")
     head_key = F.floor(F.col("head") / F.lit(2**31).cast("decimal(10,0)"))
-    out = out.select("k", "no", "head", place.alias("at"))
-    return out.select(F.col("k").alias(key), F.col("no").alias("line_no"), head_key.cast("long").alias("first_key"), (F.col("head") - head_key * F.lit(2**31).cast("decimal(10,0)")).cast("int").alias("first_line"), (F.col("head") == F.col("at")).alias("kept"))
+    head_no = F.col("head") - head_key * F.lit(2**31).cast("decimal(10,0)")
+    out = out.select("k", "no", F.coalesce(head_key.cast("long"), F.col("k")).alias("hk"), F.coalesce(head_no.cast("int"), F.col("no")).alias("hn"))
+    out = out.union(far.select("k", "no", F.col("k"), F.col("no")))
+    return out.select(F.col("k").alias(key), F.col("no").alias("line_no"), F.col("hk").alias("first_key"), F.col("hn").alias("first_line"), ((F.col("hk") == F.col("k")) & (F.col("hn") == F.col("no"))).alias("kept"))
 
 
 def without_copies(documents: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:

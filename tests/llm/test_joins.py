@@ -174,6 +174,23 @@ def test_near_vectors(spark):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dimension", [32, 128, 384, 768])
+def test_lattice_cells_in_other_dimensions(dimension):
+    """Pairs at 0.93 to 0.95 meet in nearly all cases, and no home cell holds much of unrelated vectors."""
+    rng, tables = np.random.default_rng(7), lattice.Tables(dimension)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a, other = unit(rng.normal(size=(400, dimension))), rng.normal(size=(400, dimension))
+    other = unit(other - (other * a).sum(1, keepdims=True) * a)
+    c = rng.uniform(0.93, 0.95, size=(400, 1))
+    b = c * a + np.sqrt(1 - c * c) * other
+    (ha, pa_), (hb, pb) = tables.cells(a), tables.cells(b)
+    met = (ha == hb) | (pa_ == hb[:, :, None]).any(2) | (pb == ha[:, :, None]).any(2)
+    assert met.any(1).mean() >= 0.98
+    assert all(np.unique(ha[:, t], return_counts=True)[1].max() <= 8 for t in range(ha.shape[1]))
+    x = unit(rng.normal(size=(50, dimension)))
+    assert all((tables.cells(x[i : i + 1])[0] == tables.cells(x)[0][i]).all() for i in range(50))
+
+
 def test_fixity_finds_every_difference(spark):
     schema = "page_id long, url string, html string"
     rows = [(i, f"http://x/{i % 7}", f"<p>{i}</p>" * (i % 5)) for i in range(0, 6000, 3)] + [(9, None, None), (None, "http://n", "x"), (-5, "u", "y"), (30, "http://x/2", "twin")]
