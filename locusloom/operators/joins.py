@@ -1,8 +1,10 @@
 """Overlap joins of every type, under two strategies with one result.
 
-`plain` hands Catalyst the equality of chromosomes with the overlap as a residual; it suits a side small enough to be
-broadcast. `binned` is an equi-join on bins of positions (plans/binned.py). Semi, anti and outer joins are built on the
-matched pairs: whether a row has a partner depends on its values alone, so rows are told apart by a 128-bit hash of them.
+`plain` hands Catalyst the equality of chromosomes with the predicate as a residual; it suits a side of a few rows. `binned` is
+an equi-join on bins of positions (plans/binned.py). `auto` is binned unless Catalyst can prove that a side has few rows:
+an estimate in bytes is no proof, and even 10 MB of intervals against a large side are too many pairs to try one by one. Semi,
+anti and outer joins are built on the matched pairs: whether a row has a partner depends on its values alone, so rows are
+told apart by a 128-bit hash of them.
 """
 
 from __future__ import annotations
@@ -16,68 +18,64 @@ from locusloom.operators.predicates import intersects
 from locusloom.plans.binned import binned_pairs, choose_bins
 from locusloom.schema import CANONICAL, Interval, IntervalSchema
 
-#: Bytes, by Catalyst's estimate, up to which a side counts as small.
-SMALL = 10 << 20
+#: Rows up to which a side counts as small.
+SMALL = 4096
 _HOW = {"inner": "inner", "left": "left", "leftouter": "left", "left_outer": "left", "right": "right", "rightouter": "right", "right_outer": "right", "full": "full", "outer": "full", "fullouter": "full", "full_outer": "full", "semi": "semi", "leftsemi": "semi", "left_semi": "semi", "anti": "anti", "leftanti": "anti", "left_anti": "anti"}
 
 On = Callable[[Interval, Interval], Column]
 
 
-def _size(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def is_small(df: DataFrame) -> bool:
+    """Whether the plan itself bounds the rows (a local relation, a limit, a global aggregate). Runs nothing."""
+    most = df._jdf.queryExecution().optimizedPlan().maxRows()
+    return most.isDefined() and int(str(most.get())) <= SMALL
 
 
 def overlap_join(left: DataFrame, right: DataFrame, *, how: str = "inner", left_schema: IntervalSchema = CANONICAL, right_schema: IntervalSchema = CANONICAL, on: Column | None = None, predicate: On = intersects, left_alias: str = "a", right_alias: str = "b", strategy: str = "auto", bins: list[int] | None = None) -> DataFrame:
     """Joins rows whose intervals satisfy `predicate` (intersects, contains or within, all of which imply overlap or touch).
 
     on: further conditions over a.<column> and b.<column>. Columns of the result can be named a.<column> and b.<column>;
-    semi and anti joins return the left side's. strategy: plain, binned, or auto (binned unless a side is small).
+    semi and anti joins return the left side's. strategy: plain, binned, or auto. bins: widths of the bins, where known.
     """
     how = _HOW[how.lower()]
-    a, b = left.alias(left_alias), right.alias(right_alias)
-    test = predicate(Interval.of(left_schema, left_alias), Interval.of(right_schema, right_alias))
-    condition = test if on is None else test & on
-    if strategy == "auto":
-        strategy = "plain" if min(_size(left), _size(right)) <= SMALL or predicate is not intersects or _has_map(left, right) else "binned"
-    if strategy == "plain":
-        return a.join(b, condition, {"semi": "left_semi", "anti": "left_anti"}.get(how, how))
-    if predicate is not intersects:
-        raise ValueError("the binned strategy joins by overlap")
+    if strategy == "plain" or (strategy == "auto" and (is_small(left) or is_small(right))):
+        test = predicate(Interval.of(left_schema, left_alias), Interval.of(right_schema, right_alias))
+        condition = test if on is None else test & on
+        return left.alias(left_alias).join(right.alias(right_alias), condition, {"semi": "left_semi", "anti": "left_anti"}.get(how, how))
     x, y = _side(left, left_schema, "_l"), _side(right, right_schema, "_r")
-    pairs = binned_pairs(x, y, bins or choose_bins(x, y)).select(F.col("_l").alias(left_alias), F.col("_r").alias(right_alias))
+    pairs = binned_pairs(x, y, bins or choose_bins(x, y), None if predicate is intersects else predicate).select(F.col("_l").alias(left_alias), F.col("_r").alias(right_alias))
     if on is not None:
         pairs = pairs.where(on)
-    fields = lambda alias, df: [F.col(f"{alias}.`{c}`") for c in df.columns]
+    told = lambda alias, df: pairs.select(*_row_hash(df, alias)).distinct()
     if how in ("semi", "anti"):
-        matched = pairs.select(*_row_hash(F.struct(*fields(left_alias, left)))).distinct()
-        return _by_hash(left, matched, f"left_{how}")
+        return _by_hash(left, told(left_alias, left), f"left_{how}")
     # One aliased side at a time, so that a.x and b.x keep their meaning.
     whole = pairs
     if how in ("left", "full"):
-        lone = _by_hash(left, pairs.select(*_row_hash(F.struct(*fields(left_alias, left)))).distinct(), "left_anti")
+        lone = _by_hash(left, told(left_alias, left), "left_anti")
         whole = whole.unionByName(lone.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias(left_alias), F.lit(None).cast(pairs.schema[right_alias].dataType).alias(right_alias)))
     if how in ("right", "full"):
-        lone = _by_hash(right, pairs.select(*_row_hash(F.struct(*fields(right_alias, right)))).distinct(), "left_anti")
+        lone = _by_hash(right, told(right_alias, right), "left_anti")
         whole = whole.unionByName(lone.select(F.lit(None).cast(pairs.schema[left_alias].dataType).alias(left_alias), F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias(right_alias)))
     return whole
 
 
-def _has_map(*sides: DataFrame) -> bool:
-    return any("map<" in f.dataType.simpleString() for x in sides for f in x.schema.fields)
-
-
 def _side(df: DataFrame, schema: IntervalSchema, name: str) -> DataFrame:
     i = Interval.of(schema)
     return df.select(i.chrom.alias("_c"), i.start.cast("long").alias("_s"), i.end.cast("long").alias("_e"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
 
 
-def _row_hash(row: Column) -> list[Column]:
-    # Nulls are hashed as such by the text form of the row, which tells them from other values.
-    return [F.xxhash64(row, F.to_json(row)).alias("_h1"), F.xxhash64(F.lit(7), F.to_json(row), row).alias("_h2")]
+def _row_hash(df: DataFrame, alias: str | None = None) -> list[Column]:
+    """Two hashes of a row. Hashes pass over nulls, so a mask of them is hashed too; nested values are hashed as text."""
+    named = {f.name: F.col(f"{alias}.`{f.name}`" if alias else f"`{f.name}`") for f in df.schema.fields}
+    nested = {f.name for f in df.schema.fields if f.dataType.simpleString().startswith(("struct", "array", "map", "variant"))}
+    columns = [F.to_json(F.struct(c.alias("v"))) if n in nested else c for n, c in named.items()]
+    mask = F.concat(*[F.when(c.isNull(), F.lit("0")).otherwise(F.lit("1")) for c in named.values()])
+    return [F.xxhash64(mask, *columns).alias("_h1"), F.xxhash64(F.lit(7), *columns, mask).alias("_h2")]
 
 
 def _by_hash(df: DataFrame, matched: DataFrame, how: str) -> DataFrame:
-    mine = df.select("*", *[h.alias(n) for h, n in zip(_row_hash(F.struct(*[F.col(f"`{c}`") for c in df.columns])), ("_h3", "_h4"), strict=True)])
+    mine = df.select("*", *[h.alias(n) for h, n in zip(_row_hash(df), ("_h3", "_h4"), strict=True)])
     return mine.join(matched, (F.col("_h1") == F.col("_h3")) & (F.col("_h2") == F.col("_h4")), how).drop("_h3", "_h4")
 
 

@@ -122,3 +122,78 @@ def test_around_the_operators(session):
 def test_errors(session, text, message):
     with pytest.raises(Exception, match=message):
         session.sql(text).collect()
+
+
+def test_tokens_pass_through(session):
+    got = session.sql("SELECT 1.5e1 AS a, .5 AS b, 1 == 1 AS c, NULL <=> NULL AS d, transform(array(1, 2), x -> x + 1) AS e, 8 % 3 AS f, 2L AS g, 'it''s' AS h, 1e-2D AS i").first()
+    assert (float(got.a), float(got.b), got.c, got.d, got.e, got.f, got.g, got.i) == (15.0, 0.5, True, True, [2, 3], 2, 2, 0.01)
+    assert rows(session.sql("SELECT f.* EXCEPT (name, strand) FROM features f WHERE f.interval INTERSECTS 'chr2:0-100' AND start < 1e5")) == [("chr2", 10, 40)]
+    assert rows(session.sql("SELECT name FROM features EXCEPT SELECT name FROM features WHERE interval INTERSECTS 'chr1:0-50'")) == [("b",), ("c",)]
+    assert session.sql("SELECT name FROM features MINUS (SELECT name FROM features)").count() == 0
+    assert rows(session.sql("SELECT name FROM features WHERE strand IS NOT DISTINCT FROM '-' AND start BETWEEN 1 AND 90")) == [("b",)]
+
+
+def test_distinct_on_and_cte_columns(session):
+    got = session.sql("SELECT DISTINCT ON (chrom) chrom, name FROM features ORDER BY chrom, start DESC")
+    assert [tuple(r) for r in got.collect()] == [("chr1", "b"), ("chr2", "c")]
+    got = session.sql("WITH f(c, n) AS (SELECT chrom, name FROM features) SELECT n FROM f WHERE c = 'chr2'")
+    assert rows(got) == [("c",)]
+    got = session.sql("SELECT f.name FROM features f QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY start) = 1 ORDER BY f.start DESC LIMIT 1")
+    assert rows(got) == [("c",)]
+
+
+def test_cluster_beside_distinct_and_named_windows(session):
+    assert rows(session.sql("SELECT DISTINCT chrom, CLUSTER(interval) AS id FROM features")) == [("chr1", 1), ("chr2", 1)]
+    got = session.sql("SELECT name, CLUSTER(interval) AS id, row_number() OVER w AS n FROM features WINDOW w AS (PARTITION BY chrom ORDER BY start)")
+    assert rows(got) == [("a", 1, 1), ("b", 1, 2), ("c", 1, 1)]
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("SELECT a.name, b.name FROM features a, mask b WHERE a.interval INTERSECTS b.interval", "am1 am2 bm1 bm2 cm3"),
+        ("SELECT a.name, b.name FROM features a JOIN mask b ON b.interval CONTAINS a.interval AND a.start > 0", "cm3"),
+        ("SELECT a.name, b.name FROM features a JOIN mask b ON a.interval WITHIN b.interval", "cm3"),
+        ("SELECT a.name, b.name FROM features a LEFT JOIN mask b ON a.interval INTERSECTS b.interval AND b.name <> 'm1'", "am2 bm2 cm3"),
+        ("SELECT a.name, b.name FROM features a RIGHT JOIN mask b ON a.interval INTERSECTS b.interval AND a.name = 'c'", "-m1 -m2 cm3"),
+        ("SELECT a.name, b.name FROM features a FULL JOIN annotations b ON a.interval INTERSECTS b.interval", "ag1 b- cg2"),
+        ("SELECT a.name, b.name FROM features a JOIN features b ON a.interval INTERSECTS b.interval WHERE a.name < b.name", "ab"),
+        ("SELECT a.name, c.name FROM features a JOIN mask b ON a.interval INTERSECTS b.interval JOIN annotations c ON b.interval INTERSECTS c.interval", "ag1 bg1 cg2"),
+        ("SELECT a.name, b.name FROM features a LEFT JOIN mask b ON a.strand = b.strand AND a.chrom = b.chrom WHERE a.interval INTERSECTS b.interval", "am1 am2"),
+        ("SELECT a.name, '' FROM features a LEFT SEMI JOIN mask b ON a.interval INTERSECTS b.interval AND b.strand = '-'", "c"),
+        ("SELECT a.name, '' FROM features a WHERE EXISTS (SELECT 1 FROM mask b WHERE a.interval INTERSECTS b.interval AND b.name = 'm2')", "a b"),
+        ("SELECT a.name, '' FROM features a WHERE a.interval INTERSECTS ANY (SELECT interval FROM mask WHERE name = 'm1') OR a.name = 'c'", "a b c"),
+        ("SELECT a.name, '' FROM features a WHERE NOT a.interval INTERSECTS ANY (SELECT m.interval FROM mask m WHERE m.name = 'm1')", "c"),
+        ("SELECT a.name, b.name FROM (SELECT * FROM features WHERE strand = '+') a JOIN mask b ON a.interval INTERSECTS b.interval", "am1 am2 cm3"),
+        ("SELECT a.name, b.name FROM features a JOIN mask b ON a.interval INTERSECTS b.interval OR a.name = 'never'", "am1 am2 bm1 bm2 cm3"),
+    ],
+)
+def test_predicates_between_relations(session, text, expected):
+    got = {"".join("-" if v is None else v for v in r) for r in session.sql(text).collect()}
+    assert got == set(expected.split())
+
+
+def test_joins_are_equi_joins_and_stars_hide_their_keys(session):
+    text = session.to_spark_sql("SELECT * FROM features a JOIN mask b ON a.interval INTERSECTS b.interval")
+    assert "<" not in text and "`a`.`chrom` = `_chrom_" in text
+    assert session.spark.sql(text).columns == ["chrom", "start", "end", "name", "strand"] * 2
+    assert session.sql("SELECT b.*, a.name AS other FROM features a JOIN mask b ON a.interval INTERSECTS b.interval").columns == ["chrom", "start", "end", "name", "strand", "other"]
+
+
+def test_nearest_among_other_relations(session):
+    text = """SELECT a.name, n.name AS near, n.distance, g.name AS gene FROM features a JOIN mask m ON a.interval INTERSECTS m.interval AND m.name = 'm1'
+    CROSS JOIN LATERAL NEAREST(annotations, reference := a.interval, k := 1) AS n LEFT JOIN annotations g ON a.interval INTERSECTS g.interval ORDER BY a.name"""
+    assert rows(session.sql(text)) == [("a", "g1", 0, "g1"), ("b", "g1", 31, None)]
+    star = session.sql("SELECT * FROM features a, LATERAL NEAREST(annotations, reference := a.interval) n")
+    assert star.columns == ["chrom", "start", "end", "name", "strand"] * 2 + ["distance"]
+    left = session.sql("SELECT a.name, n.name AS near FROM features a LEFT JOIN LATERAL NEAREST(annotations, reference := a.interval, max_distance := 5) n ON true")
+    assert sorted((r.name, r.near or "") for r in left.collect()) == [("a", "g1"), ("b", ""), ("c", "g2")]
+
+
+def test_views_are_dropped(spark, small):
+    own = IntervalSession(spark)
+    own.register("features", small["features"])
+    own.sql("SELECT CLUSTER(interval) FROM features")
+    names = list(own._made)
+    own.close()
+    assert names and not {t.name for t in spark.catalog.listTables()} & set(names)
