@@ -41,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """The same rows as a Parquet table in the shared checkpoint folder: as cut(), for tables that are large or read in parts."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.option("compression", "uncompressed").parquet(path)  # codecs keep native memory
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
