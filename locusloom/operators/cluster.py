@@ -12,16 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusloom.plans.running import SEGMENT, carried
+from locusloom.plans.running import Segments, carried, segment_limits
 from locusloom.schema import CANONICAL, IntervalSchema
 
 Prev = Callable[[str], Column]
 _ORDERED = ("string", "bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "binary")
 
 
-def cluster(df: DataFrame, *, schema: IntervalSchema = CANONICAL, distance: int = 0, stranded: bool = False, predicate: Callable[[Prev], Column] | None = None, name: str = "cluster", segment: int = SEGMENT) -> DataFrame:
+def cluster(df: DataFrame, *, schema: IntervalSchema = CANONICAL, distance: int = 0, stranded: bool = False, predicate: Callable[[Prev], Column] | None = None, name: str = "cluster", segment: Segments | None = None) -> DataFrame:
     """df with the cluster id as a further column.
 
+    segment: limits or width of the segments that windows run in; by default chosen from the data.
     predicate: a function of prev that must hold for a row to join its predecessor's cluster; prev(c) is column c of the row
     before, in order of start, end and then all other columns, which makes ties definite.
     """
@@ -39,6 +40,7 @@ def cluster(df: DataFrame, *, schema: IntervalSchema = CANONICAL, distance: int
     if used:
         last = F.struct(start, end, *[F.col(f"`{c}`") for c in rest])
         told["last_row"] = F.max_by(row, last)
+    segment = segment_limits((df, schema.start)) if segment is None else segment
     work = carried(df, keys, schema.start, told, segment)
     window = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], "_seg").orderBy(*total)
     edge = F.greatest(F.max(end).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.col("max_end"))
@@ -56,7 +58,7 @@ def cluster(df: DataFrame, *, schema: IntervalSchema = CANONICAL, distance: int
     return work.select(*[F.col(f"`{c}`") for c in df.columns], id_.alias(name))
 
 
-def merge(df: DataFrame, *aggregates: Column, schema: IntervalSchema = CANONICAL, distance: int = 0, stranded: bool = False, predicate: Callable[[Prev], Column] | None = None, segment: int = SEGMENT) -> DataFrame:
+def merge(df: DataFrame, *aggregates: Column, schema: IntervalSchema = CANONICAL, distance: int = 0, stranded: bool = False, predicate: Callable[[Prev], Column] | None = None, segment: Segments | None = None) -> DataFrame:
     """One row per cluster: chromosome (and strand), least start, greatest end, under their stored names, then the aggregates."""
     keys = [schema.chrom] + ([schema.strand] if stranded else [])
     marked = cluster(df, schema=schema, distance=distance, stranded=stranded, predicate=predicate, name="_cluster", segment=segment)

@@ -13,20 +13,20 @@ from pyspark.sql import functions as F
 
 from locusloom.operators.distance import distance
 from locusloom.operators.joins import overlap_join
-from locusloom.plans.running import SEGMENT, carried
+from locusloom.plans.running import Segments, carried, segment_limits
 from locusloom.schema import CANONICAL, Interval, IntervalSchema
 
 _KEY = ["_c", "_t"]
 
 
-def _numbered(targets: DataFrame, position: str, order: list[Column], segment: int) -> DataFrame:
+def _numbered(targets: DataFrame, position: str, order: list[Column], segment: Segments) -> DataFrame:
     """Targets with `_n`, their number from 1 in the given order, which starts with `position`."""
     work = carried(targets, _KEY, position, {"sum_rows": F.count(F.lit(1))}, segment)
     w = Window.partitionBy(*_KEY, "_seg").orderBy(*order)
     return work.withColumn("_n", F.row_number().over(w) + F.coalesce("sum_rows", F.lit(0))).drop("_seg", "sum_rows")
 
 
-def _before(keys: DataFrame, at: str, targets: DataFrame, position: str, inclusive: bool, segment: int) -> DataFrame:
+def _before(keys: DataFrame, at: str, targets: DataFrame, position: str, inclusive: bool, segment: Segments) -> DataFrame:
     """keys with `_n`, how many targets of their chromosome have a position below `at` (or at it, if inclusive)."""
     a = keys.select(*_KEY, F.col(at).alias("_p"), "_key", F.lit(0).alias("_one"))
     b = targets.select(*_KEY, F.col(position).alias("_p"), F.lit(None).cast(keys.schema["_key"].dataType).alias("_key"), F.lit(1).alias("_one"))
@@ -37,7 +37,7 @@ def _before(keys: DataFrame, at: str, targets: DataFrame, position: str, inclusi
     return work.withColumn("_n", count).where("_key is not null").select("_key", *_KEY, "_n")
 
 
-def nearest(reference: DataFrame, target: DataFrame, *, k: int = 1, max_distance: int | None = None, stranded: bool = False, signed: bool = False, reference_schema: IntervalSchema = CANONICAL, target_schema: IntervalSchema = CANONICAL, strategy: str = "auto", segment: int = SEGMENT) -> DataFrame:
+def nearest(reference: DataFrame, target: DataFrame, *, k: int = 1, max_distance: int | None = None, stranded: bool = False, signed: bool = False, reference_schema: IntervalSchema = CANONICAL, target_schema: IntervalSchema = CANONICAL, strategy: str = "auto", segment: Segments | None = None) -> DataFrame:
     """For each reference row its k nearest targets of the same chromosome: struct columns a and b, and distance.
 
     stranded: only targets on the reference's strand, seen along it; where that strand is '.' or '?', distances are null and
@@ -49,6 +49,7 @@ def nearest(reference: DataFrame, target: DataFrame, *, k: int = 1, max_distance
     keys = reference.select(r.chrom.alias("_c"), r.start.cast("long").alias("_s"), r.end.cast("long").alias("_e"), (r.strand if stranded else none).alias("_t")).where("_c is not null and _s is not null and _e is not null" + (" and _t is not null" if stranded else "")).distinct()
     keys = keys.withColumn("_key", F.struct("_c", "_s", "_e", "_t")).withColumn("_t", F.coalesce("_t", F.lit("")))
     own = target.select(t.chrom.alias("_c"), t.start.cast("long").alias("_s"), t.end.cast("long").alias("_e"), (t.strand if stranded else F.lit("")).alias("_t"), F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("_row")).where("_c is not null and _s is not null and _e is not null and _t is not null")
+    segment = segment_limits((own, "_s"), (keys, "_s")) if segment is None else segment
     by_start = _numbered(own, "_s", [F.col("_s"), F.col("_e")], segment)
     by_end = _numbered(own, "_e", [F.col("_e"), F.col("_s").desc()], segment)
     unknown = F.col("_t").isin(".", "?") if stranded else F.lit(False)

@@ -53,8 +53,8 @@ def _literal(name: str, test: Callable, where: str) -> None:
 
 
 _literal("intersects_literal", lambda i: intersects(i, _RANGE), f"chrom = 'chr1' AND \"start\" < {_END} AND \"end\" > {_START}")
-_literal("contains_point", lambda i: contains(i, "chr2:15010"), "chrom = 'chr2' AND \"start\" <= 15010 AND \"end\" > 15010")
-_literal("contains_range", lambda i: contains(i, "chr2:[15000,15005]"), "chrom = 'chr2' AND \"start\" <= 15000 AND \"end\" >= 15006")
+_literal("contains_point", lambda i: contains(i, "chr2:1088"), "chrom = 'chr2' AND \"start\" <= 1088 AND \"end\" > 1088")
+_literal("contains_range", lambda i: contains(i, "chr2:[1085,1089]"), "chrom = 'chr2' AND \"start\" <= 1085 AND \"end\" >= 1090")
 _literal("within_literal", lambda i: within(i, _RANGE), f"chrom = 'chr1' AND \"start\" >= {_START} AND \"end\" <= {_END}")
 _literal("not_intersects", lambda i: ~intersects(i, _RANGE), f"NOT (chrom = 'chr1' AND \"start\" < {_END} AND \"end\" > {_START})")
 _literal("intersects_any", lambda i: any_of(intersects, i, [_RANGE, "chr3:5000-9000"]), f"(chrom = 'chr1' AND \"start\" < {_END} AND \"end\" > {_START}) OR (chrom = 'chr3' AND \"start\" < 9000 AND \"end\" > 5000)")
