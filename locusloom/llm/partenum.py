@@ -10,7 +10,8 @@ partner can lie there.
 An empty projection says little and would be shared by many. n1 holds a tenth more parts than needed (`SPARE`), so at least
 that many more parts agree; a set with no more empty projections than that leaves them out without losing a pair.
 
-Candidates: each row is sent once, by its set's digest, which finds equal sets, and once for each signature. Every other
+Candidates: a batch of documents sends one row for each set that it holds, by the set's digest, which finds equal sets, and one for each
+signature; copies inside the batch name the first of them, so a group in the window has a row a batch, however many copies. Every other
 member of a signature's group is paired with the group's least member; inside a batch of documents this is done before the
 shuffle, so a set that a batch repeats sends its signatures once, and a frequent signature is sent once a batch. Where the
 least member is not similar to some of the others, each member outside its component is compared with all of the group,
@@ -121,7 +122,7 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
 CELLS = 256
 #: Members of a group that one block compares with as many others.
 BLOCK = 2048
-_SENT = "at long, x long, a long, b long, sig long, n long, sketch binary"
+_SENT = "at long, x long, a long, b long, sig long, n long, sketch binary, l long"
 
 
 def sketch(elements: np.ndarray) -> bytes:
@@ -136,7 +137,15 @@ def _sent(keys: np.ndarray, null: np.ndarray, sets: list[np.ndarray], bands: Ban
     digests = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
     usable = np.flatnonzero((sizes > 0) & ~null)
     usable = usable[np.argsort(keys[usable], kind="stable")]
-    reps = usable[np.sort(np.unique(digests[usable, 0], return_index=True)[1])]
+    _, index, inverse = np.unique(digests[usable, 0], return_index=True, return_inverse=True)
+    reps = usable[np.sort(index)]
+    # Only the first of equal sets in a batch is sent by its digest; the others name it and are spread by their keys.
+    of = usable[index][inverse]
+    same = digests[of, 1] == digests[usable, 1]
+    local, copies = keys.copy(), usable[same & (of != usable)]
+    local[usable[same]] = keys[of[same]]
+    digests = digests.copy()
+    digests[copies, 0], digests[copies, 1] = mixed(keys[copies].view(np.uint64)).view(np.int64), keys[copies]
     made = [signatures(sets[i], bands).view(np.int64) for i in reps.tolist()]
     sigs = np.concatenate([np.zeros(0, np.int64), *made])
     owner = np.repeat(keys[reps], [len(m) for m in made])
@@ -162,13 +171,14 @@ def _sent(keys: np.ndarray, null: np.ndarray, sets: list[np.ndarray], bands: Ban
             column(zeros(d, np.int64), zeros(n, np.int64), sigs[rest], part < 2),
             column(sizes, zeros(n, np.int64), zeros(m, np.int64), part > 0),
             sketches,
+            column(local, zeros(n, np.int64), zeros(m, np.int64), (part > 0) | nulls),
         ],
-        names=["at", "x", "a", "b", "sig", "n", "sketch"],
+        names=["at", "x", "a", "b", "sig", "n", "sketch", "l"],
     )
 
 
 def met(documents: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, ratio: float = RATIO) -> DataFrame:
-    """Rows of documents: (k, n, sketch, m), m the least key with an equal set. Rows of candidates: (sig, a, b), b a member of the signature's group and a the one that it is paired with."""
+    """Rows of documents: (k, n, sketch, m), m a lesser key with an equal set, or its own. Rows of candidates: (sig, a, b), b a member of the signature's group and a the one that it is paired with."""
     source = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +189,7 @@ def met(documents: DataFrame, *, text: str = "text", key: str = "doc_id", words:
                 null = keys.is_null().to_numpy(zero_copy_only=False)
                 yield _sent(keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null, shingle_sets(part.column("t"), words), bands)
 
-    near = source.mapInArrow(run, _SENT).withColumn("m", F.min("a").over(Window.partitionBy("at", "x")))
+    near = source.mapInArrow(run, _SENT).withColumn("m", F.least(F.min("a").over(Window.partitionBy("at", "x")), "l"))  # a group has a row a batch
     star = F.when(F.col("b").isNotNull(), F.struct("sig", "a", "b")).when(F.col("n").isNull() & (F.col("a") > F.col("m")), F.struct(F.col("at").alias("sig"), F.col("m").alias("a"), F.col("a").alias("b")))
     near = near.withColumn("s", star).where("n is not null or s is not null")
     return near.select("s.sig", "s.a", "s.b", F.when(F.col("n").isNotNull(), F.col("a")).alias("k"), "n", "sketch", "m")
