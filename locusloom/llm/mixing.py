@@ -8,7 +8,7 @@ that the expected words are those missing. Documents are ranked by random odds d
 size in words is fixed, not only expected. Further rounds offer the room that is left to smaller documents, in the same
 order. u comes from a hash of the key and a seed, so reruns agree.
 
-`plan` needs one aggregate per (source, size), and per round one per (source, bucket of rank), with a window over the one
+`plan` needs one aggregate per (source, weight), as many rows as the root of the largest size, and per round one per (source, bucket of rank), with a window over the one
 bucket of each source where the prefix ends; it never sorts a source as a whole. It gives one row per source, from which
 `apply_plan` decides about each document by itself. That table has a row for each component of the mixture; it is held
 by the driver.
@@ -20,7 +20,6 @@ nothing is taken from it. No document gets more than `limit` copies.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,17 +70,17 @@ def ranked(key: Column, size: Column, rate: Column, seed: int = SEED) -> Ranked:
     return Ranked(p, q, h, F.floor(q / (1 + q) * BUCKETS).cast("int"))
 
 
-def _rate(sizes: list[tuple[int, int]], missing: float) -> float:
-    """The rate at which min(1, rate * weight) is expected to draw the missing words; sizes: (size, documents)."""
-    rest = sum(math.isqrt(s) * s * n for s, n in sizes)
+def _rate(words: list[tuple[int, int]], missing: float) -> float:
+    """The rate at which min(1, rate * weight) is expected to draw the missing words; words: (weight, words of that weight's documents)."""
+    rest = sum(w * n for w, n in words)
     sure = 0
-    for s, n in sorted(sizes, reverse=True):
-        if s == 0 or rest == 0:
+    for w, n in sorted(words, reverse=True):
+        if w == 0 or rest == 0:
             break
         rate = float(missing - sure) / float(rest)
-        if rate * math.isqrt(s) < 1:
+        if rate * w < 1:
             return rate
-        sure, rest = sure + s * n, rest - math.isqrt(s) * s * n
+        sure, rest = sure + n, rest - w * n
     return 1.0
 
 
@@ -93,10 +92,10 @@ def plan(documents: DataFrame, weights, *, key: str = "doc_id", text: str = "tex
     spark = documents.sparkSession
     sized = cut(documents.select(F.col(key).alias("k"), F.col(source).alias("s"), size_of(F.col(text)).alias("size")))
     found: dict[str | None, list[tuple[int, int]]] = {}
-    for r in sized.groupBy("s", "size").count().collect():
-        found.setdefault(r["s"], []).append((r["size"], r["count"]))
+    for r in sized.groupBy("s", F.floor(F.sqrt(F.col("size").cast("double"))).cast("long").alias("w")).agg(F.sum("size").alias("n")).collect():
+        found.setdefault(r["s"], []).append((r["w"], r["n"]))
     order = sorted(found, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(a * b for a, b in found[s]) for s in order}
+    sizes = {s: sum(n for _, n in found[s]) for s in order}
     goal = targets(sizes, dict(zip(order, weights(order), strict=True)), limit)
     rows = {}
     for s in order:
