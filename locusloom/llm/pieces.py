@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces with log scores.
 
 The vocabulary comes from a SentencePiece model file, whose path is a parameter; nothing is trained. A unigram model's
-scores are used as they are. A BPE model gives ranks instead: piece number r of its merges gets the log-probability of
+scores are used as they are. The path is an argument, by default what LOCUSLOOM_PIECES names. A BPE model gives ranks instead, and since
+tokenizers are not trained here no scores can be estimated: piece number r of its merges gets the log-probability of
 Zipf's law, -ln(r + 1) - ln(sum of 1/i). Scores are rounded to multiples of 2**-8, so that sums are exact and ties are
 real ties; of equal paths the one with the longer last piece wins.
 
@@ -20,6 +21,7 @@ Repeated rows get the same pieces. Other columns pass unread.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from locusloom.llm.common import slices, word_hashes
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = os.environ.get("LOCUSLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Inside, the marker U+2581 is one byte that UTF-8 never has.
 MARK = 0xFF
 #: Parts of at most so many bytes are decoded together, longer ones alone.
