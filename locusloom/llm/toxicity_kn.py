@@ -194,8 +194,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, text: str = "text", key: str
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(sample), "k").groupBy("k").agg(F.max("t").alias("t"), F.max("y").alias("y"), F.max("part").alias("part")).collect()
     rows.sort(key=lambda r: (str(r.k), r.t))
     sides = [[r.t for r in rows if r.part == i] for i in (0, 1)]
-    n = min(map(len, sides))
-    return fit_texts(sides[0][:n], sides[1][:n], [(r.t, r.y) for r in rows if r.part == 2])
+    return fit_texts(sides[0], sides[1], [(r.t, r.y) for r in rows if r.part == 2])
 
 
 def score_documents(documents: DataFrame, model: Toxicity, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
