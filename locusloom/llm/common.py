@@ -69,6 +69,20 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def kept_columns(df: DataFrame, keep: list[str] | None, added: list[str]) -> list[str]:
+    """The columns to keep (all by default) but those that added ones of the same name replace."""
+    names = {c.lower() for c in added}
+    return [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
+
+
+def integer_key(df: DataFrame, key: str) -> Column:
+    """The key column as long; keys of other kinds than integers are refused, since they would become null."""
+    kind = df.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"the key {key} must be an integer, not {kind}")
+    return F.col(f"`{key}`").cast("long")
+
+
 def order_hash(*keys: Column) -> Column:
     """A fixed pseudo-random order of rows."""
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys]))

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import cut
+from locusloom.llm.common import cut, integer_key
 
 SPAN, LIMIT, FANOUT = 1024, 4096, 16
 _RECORD = ["bucket", "key", "url", "digest", "length", "copies"]
@@ -55,7 +55,7 @@ class Trees:
 def manifest(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", span: int = SPAN) -> DataFrame:
     """(bucket, key, url, digest, length, copies) of the distinct records; the bytes are hashed where they are read."""
     raw = record(F.col(key), F.col(url), F.col(html))
-    rows = pages.select(F.coalesce(F.floor(F.col(key) / span), F.lit(-1)).cast("long").alias("bucket"), F.col(key).cast("long").alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), raw.alias("raw"))
+    rows = pages.select(F.coalesce(F.floor(F.col(key) / span), F.lit(-1)).cast("long").alias("bucket"), integer_key(pages, key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), raw.alias("raw"))
     rows = rows.select("bucket", "key", "url", F.sha2("raw", 256).alias("digest"), F.octet_length("raw").cast("long").alias("length"))
     return rows.groupBy("bucket", "key", "url", "digest", "length").agg(F.count(F.lit(1)).alias("copies"))
 

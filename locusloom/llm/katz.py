@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import byte_words, cut, lowered, mixed, slices, word_hashes
+from locusloom.llm.common import byte_words, cut, integer_key, lowered, mixed, slices, word_hashes
 
 #: Words with at least this share of the training tokens count as frequent; contexts need SHARE of them, so all are.
 FREQUENT, SHARE = 2.0**-17, 0.0
@@ -168,7 +168,7 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
 
 def occurrences(documents: DataFrame, level: Words, parts: int, *, text: str, key: str, held_out: Column) -> DataFrame:
     """(p, docs, rows): packed blocks of bigram occurrences with their documents, and, with null rows, of each document and what could be evaluated at once."""
-    source = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), held_out.alias("held"), F.xxhash64(key, text).alias("rid"))
+    source = documents.select(integer_key(documents, key).alias("k"), F.col(text).alias("t"), held_out.alias("held"), F.xxhash64(key, text).alias("rid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusloom.llm import crf
-from locusloom.llm.common import byte_words, mixed, order_hash, slices, word_hashes
+from locusloom.llm.common import byte_words, kept_columns, mixed, order_hash, slices, word_hashes
 
 UNKNOWN = "und"
 #: Training documents of each label at most.
@@ -144,7 +144,7 @@ def fit(documents: DataFrame, *, text: str = "text", lang: str = "lang", key: st
 
 def label_documents(documents: DataFrame, field: LanguageField, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of each row with lang_pred and score."""
-    keep = documents.columns if keep is None else keep
+    keep = kept_columns(documents, keep, ["lang_pred", "score"])
     source = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
 

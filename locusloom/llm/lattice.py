@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import cut, grouped, mixed, sieve, stored
+from locusloom.llm.common import cut, grouped, integer_key, mixed, sieve, stored
 from locusloom.llm.components import components
 
 TABLES, CHUNKS, PROBES, SCALE = 8, 2, 8, 4.0
@@ -212,7 +212,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     options = {"tables": tables, "chunks": chunks, "probes": probes, "scale": scale}
     kind = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"  # floats travel as such
     x = F.transform(F.col(vector), lambda v: v.cast(kind) + F.lit(0.0).cast(kind))
-    told = vectors.select(F.col(key).cast("long").alias("k"), F.col(label).alias("y"), x.alias("x"))
+    told = vectors.select(integer_key(vectors, key).alias("k"), F.col(label).alias("y"), x.alias("x"))
     fine = F.col("k").isNotNull() & F.col("y").isNotNull() & (F.size("x") > 0)
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.exists("x", lambda v: v != 0)
     told = told.withColumn("fine", F.coalesce(fine & ~bad, F.lit(False)))

@@ -33,7 +33,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import among, cut, sieve, stored
+from locusloom.llm.common import among, cut, integer_key, sieve, stored
 from locusloom.llm.components import components
 
 SHINGLE, PERCENT = 9, 80
@@ -47,7 +47,7 @@ _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 def lines_of(documents: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(k, no, line, h, g): the lines that hold a word, with their hashes."""
-    lines = documents.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
+    lines = documents.where(F.col(key).isNotNull()).select(integer_key(documents, key).alias("k"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
     return lines.where(F.col("line").rlike(_HAS_WORD)).select("k", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusloom.llm import crf
-from locusloom.llm.common import byte_words, mixed, order_hash, slices, word_hashes
+from locusloom.llm.common import byte_words, kept_columns, mixed, order_hash, slices, word_hashes
 
 BOILERPLATE, CONTENT = 0, 1
 #: Labels of training documents: at most so many of each, those first by hash of doc_id.
@@ -213,7 +213,7 @@ def base_counts(lines: Lines) -> dict[str, np.ndarray]:
 
 def score_documents(documents: DataFrame, field: LineField, *, text: str = "text", keep: list[str] | None = None, min_share: float = MIN_SHARE) -> DataFrame:
     """Columns `keep` of each row with its base counts, base_failed, the words in content lines, content_share (null without words) and kept."""
-    keep = documents.columns if keep is None else keep
+    keep = kept_columns(documents, keep, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_words", "content_share", "kept"])
     source = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
     added = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_words long, content_share double, kept boolean"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])

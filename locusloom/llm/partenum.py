@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import byte_words, cut, grouped, lowered, mixed, slices, word_hashes
+from locusloom.llm.common import byte_words, cut, grouped, integer_key, lowered, mixed, slices, word_hashes
 from locusloom.llm.components import components
 
 WORDS = 4
@@ -179,7 +179,7 @@ def _sent(keys: np.ndarray, null: np.ndarray, sets: list[np.ndarray], bands: Ban
 
 def met(documents: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, ratio: float = RATIO) -> DataFrame:
     """Rows of documents: (k, n, sketch, m), m a lesser key with an equal set, or its own. Rows of candidates: (sig, a, b), b a member of the signature's group and a the one that it is paired with."""
-    source = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    source = documents.select(integer_key(documents, key).alias("k"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent, ratio)
@@ -264,7 +264,7 @@ def _compared(documents: DataFrame, pairs: DataFrame, text: str, key: str, words
     ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     bits = _among(ids)
     spots = F.array(*[F.pmod(F.xxhash64(F.lit(i), "k"), F.lit(_FILTER)) for i in range(3)])
-    source = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null").withColumn("x", spots)
+    source = documents.select(integer_key(documents, key).alias("k"), F.col(text).alias("t")).where("k is not null").withColumn("x", spots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

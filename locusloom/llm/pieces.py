@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import slices, word_hashes
+from locusloom.llm.common import kept_columns, slices, word_hashes
 
 MODEL = os.environ.get("LOCUSLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Inside, the marker U+2581 is one byte that UTF-8 never has.
@@ -316,7 +316,7 @@ class Encoder:
 
 def encode(documents: DataFrame, encoder: Encoder, *, text: str = "text", keep: list[str] | None = None, to: str = "ids") -> DataFrame:
     """Columns `keep` of each row with the pieces of its text in column `to` (array<int>)."""
-    keep = documents.columns if keep is None else keep
+    keep = kept_columns(documents, keep, [to])
     source = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
 
@@ -333,7 +333,7 @@ def encode(documents: DataFrame, encoder: Encoder, *, text: str = "text", keep:
 
 def decode(encoded: DataFrame, encoder: Encoder, *, ids: str = "ids", keep: list[str] | None = None, to: str = "text") -> DataFrame:
     """Columns `keep` of each row with the text of its pieces in column `to`."""
-    keep = [c for c in encoded.columns if c != ids] if keep is None else keep
+    keep = kept_columns(encoded, [c for c in encoded.columns if c != ids] if keep is None else keep, [to])
     source = encoded.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`").alias("_ids"))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
 

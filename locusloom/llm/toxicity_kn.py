@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import byte_words, order_hash, slices, word_hashes
+from locusloom.llm.common import byte_words, kept_columns, order_hash, slices, word_hashes
 
 #: Bytes of the longest n-gram; at most 8, so that one fits a 64-bit key.
 ORDER = 6
@@ -199,7 +199,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, text: str = "text", key: str
 
 def score_documents(documents: DataFrame, model: Toxicity, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of each row with toxic_ll and plain_ll (log-likelihoods a word), best_window, score and predicted."""
-    keep = documents.columns if keep is None else keep
+    keep = kept_columns(documents, keep, ["toxic_ll", "plain_ll", "best_window", "score", "predicted"])
     source = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
 

@@ -1,6 +1,8 @@
 """Line dedup, fixity, lattice hashing, PartEnum, mixing and the pipeline against brute force."""
 
 import collections
+import hashlib
+import math
 import random
 import re
 
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusloom.llm import fixity, lattice, line_minhash, mixing, partenum
+from locusloom.llm import fixity, lattice, line_minhash, mixing, partenum, pieces
 from locusloom.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -277,28 +279,131 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_pipeline_against_its_stages(spark, tmp_path, family):
-    """Every stage's result follows from its input by brute force."""
+def plain_line_dedup(docs):
+    """{doc_id: text} without lines that are near copies of earlier ones, comparing all pairs."""
+    k, places, shingles = line_minhash.SHINGLE, collections.defaultdict(list), {}
+    for i, text in docs.items():
+        for n, line in enumerate((text or "").split("\n")):
+            if words_of(line):
+                raw = line.encode()
+                places[line].append((i, n))
+                shingles[line] = {raw[j : j + k] for j in range(max(1, len(raw) - k + 1))}
+    kinds = sorted(places)
+    links = [(a, b) for x, a in enumerate(kinds) for b in kinds[x + 1 :] if 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b])]
+    root, head = least_reachable(kinds, links), {}
+    for line in kinds:
+        head[root[line]] = min([*places[line], *([head[root[line]]] if root[line] in head else [])])
+    out = {}
+    for i, text in docs.items():
+        left = [x for n, x in enumerate((text or "").split("\n")) if not words_of(x) or head[root[x]] == (i, n)]
+        if text is None or len(left) == len(text.split("\n")) or any(map(words_of, left)):
+            out[i] = None if text is None else "\n".join(left)
+    return out
+
+
+def plain_join(docs):
+    """The least doc_id of each component of documents at 4-shingle Jaccard 0.85."""
+    sets = {}
+    for i, text in docs.items():
+        w = words_of((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    root = least_reachable(sets, links)
+    return {i for i in sets if root[i] == i}
+
+
+def plain_mix(docs):
+    """{doc_id: copies} of (text, source) by sorting each source whole."""
+    sizes, by = {i: len(words_of(t)) for i, (t, _) in docs.items()}, collections.defaultdict(list)
+    for i, (_, s) in docs.items():
+        by[s].append(i)
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    total = {s: sum(sizes[i] for i in by[s]) for s in order}
+    goal = mixing.targets(total, {s: k % 3 + 1 for k, s in enumerate(order)})
+    copies = {}
+    for s in order:
+        whole = min(3, int(goal[s] // total[s])) if total[s] else 0
+        room = goal[s] - float(whole * total[s]) if whole < 3 else 0.0
+        copies |= {i: whole for i in by[s]}
+        sure, rest, rate = 0, sum(math.isqrt(sizes[i]) * sizes[i] for i in by[s]), 1.0
+        for i in sorted(by[s], key=lambda i: -sizes[i]):
+            if not sizes[i] or (room - sure) / rest * math.isqrt(sizes[i]) < 1:
+                rate = (room - sure) / rest if rest else 0.0
+                break
+            sure, rest = sure + sizes[i], rest - math.isqrt(sizes[i]) * sizes[i]
+        odds = {}
+        for i in by[s]:
+            h = hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()
+            u, p = (int(h[:13], 16) + 0.5) / 2**52, min(1.0, (rate if room > 0 else 0.0) * math.isqrt(sizes[i]))
+            if p > 0:
+                odds[i] = (u / (1 - u) * ((1 - p) / p), h)
+        for _ in range(3):
+            upto, fits = 0, room
+            for i in sorted((i for i in odds if 0 < sizes[i] <= fits), key=odds.get):
+                upto += sizes[i]
+                if upto > fits:
+                    upto -= sizes[i]
+                    break
+                copies[i] += 1
+                del odds[i]
+            room -= upto
+    return copies
+
+
+def plain_encode(text, v):
+    """Unigram Viterbi over strings; no piece covers a line feed."""
+    known = {p: (s, i) for i, (p, s, k) in enumerate(zip(v.pieces, v.scores.tolist(), v.kinds, strict=True)) if k == 1}
+    byte = {p: i for i, p in enumerate(v.pieces) if p.startswith("<0x")}
+    out = []
+    for n, part in enumerate(("\u2581" + text.replace(" ", "\u2581")).split("\n")):
+        out += [byte["<0x0A>"]] if n else []
+        best = [(0.0, 0, None)] + [(-math.inf, 0, None)] * len(part)
+        for s in range(len(part)):
+            for e in range(s + 1, min(len(part), s + 48) + 1):
+                if part[s:e] in known and best[s][0] + known[part[s:e]][0] > best[e][0]:
+                    best[e] = (best[s][0] + known[part[s:e]][0], s, known[part[s:e]][1])
+        at, ids = len(part), []
+        while at:
+            ids.append(best[at][2])
+            at = best[at][1]
+        out += ids[::-1]
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, family):
+    """Each stage, and run() with its copies and ids, against plain Python; with nulls, repeated rows, empty texts and columns of clashing names."""
     import corpus_pipeline
 
-    prose = [(i, t + "\n" + t[::-1] + " x" * 5, lang, s) for i, t, lang, s in family if len(t.split()) >= 50]
-    junk = [(700 + i, " | ".join(t.upper().split()) + " !!", lang, s) for i, t, lang, s in family[:20]]
-    docs = spark.createDataFrame([(*r, len(r[1])) for r in prose + junk], DOCS + ", n_chars long")
+    prose = [(i, t + "\n" + t[::-1] + " x" * 5, lang, ["s", "s", "z", None][i % 4]) for i, t, lang, _ in family if len(t.split()) >= 50]
+    prose += [(500, prose[3][1], "en", "z"), (501, prose[0][1] + "\n\nlast words of it", "en", "z")]
+    junk = [(700 + i, " | ".join(t.upper().split()) + " !!", lang, s) for i, t, lang, s in family[:20]] + [(800, None, None, None), (801, "", "en", "s")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), r[0] * 2) for r in prose + junk], DOCS + ", n_chars long, kept long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(r[0], int(r[0] < 700)) for r in prose + junk], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     now = spark.read.parquet(str(tmp_path / "documents.parquet"))
     good = corpus_pipeline.quality(spark, now, str(tmp_path))
-    assert {r.doc_id for r in good.collect()} == {r[0] for r in prose}
-    lines = corpus_pipeline.lines(spark, good, str(tmp_path))
-    seen = collections.Counter(x for r in lines.collect() for x in r.text.split("\n") if x.strip())
-    assert max(seen.values()) == 1 and all(r.n_chars == len(r.text) for r in lines.collect())
-    joined = corpus_pipeline.join(spark, lines, str(tmp_path))
-    roots = {r.doc_id: r.component_id for r in partenum.classes(lines).collect()}
-    assert {r.doc_id for r in joined.collect()} == {k for k, v in roots.items() if k == v}
+    texts = {r.doc_id: r.text for r in good.collect()}
+    assert texts == {r[0]: r[1] for r in prose} and all(r.kept == 2 * r.doc_id for r in good.collect())
+    lines = corpus_pipeline.lines(spark, good, str(tmp_path)).collect()
+    left = plain_line_dedup(texts)
+    assert {r.doc_id: r.text for r in lines} == left and all(r.n_chars == len(r.text) for r in lines) and left != texts
+    of = spark.createDataFrame(lines, docs.schema)
+    joined = corpus_pipeline.join(spark, of, str(tmp_path)).collect()
+    kept = plain_join(left)
+    assert {r.doc_id for r in joined} == kept
+    source = {r[0]: r[3] for r in prose}
+    copies = plain_mix({i: (left[i], source[i]) for i in kept})
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "lang", "source", "ids", "n_pieces"]
-    assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in joined.collect()}
-    assert [name for name, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
+    v = pieces.read_vocabulary()
+    expected = collections.Counter({(i, tuple(plain_encode(left[i], v))): n for i, n in copies.items() if n})
+    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in out.collect()) == expected and max(expected.values()) > 1
+    assert all(r.n_pieces == len(r.ids) for r in out.collect())
+    # Any stage takes a table with repeated rows and nulls, and an empty one.
+    odd = now.union(now)
+    for docs_ in (odd, now.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            assert stage(spark, docs_, str(tmp_path)).count() <= 3 * docs_.count()
 
 
 def test_jaccard_classes_of_a_table_united_with_itself(spark):

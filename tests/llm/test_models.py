@@ -287,3 +287,23 @@ def test_words_of_any_script_vote_for_the_language():
     (lang,), (score,) = field.documents(pa.array([text]))
     assert lang == "ru" and math.isclose(score, post[:7, 1].mean())
     assert field.documents(pa.array(["12 … 34", None]))[0] == ["und", "und"]
+
+
+def test_columns_with_the_names_of_added_ones_are_replaced(spark, encoder):
+    """By default all columns are kept but those that an operator adds; keys other than integers are refused."""
+    docs = spark.createDataFrame([(1, "one two three " * 30, "en", "s"), *ODD], DOCS).withColumns({c: F.lit("clash") for c in ("n_words", "lang_pred", "ids", "score", "predicted")})
+    field = line_quality.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    for out in (
+        line_quality.score_documents(docs, field),
+        language_crf.label_documents(docs, language_crf.fit(docs)),
+        toxicity_kn.score_documents(docs, toxicity_kn.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic")).limit(0))),
+        pieces.encode(docs, encoder),
+        pieces.decode(pieces.encode(docs, encoder), encoder),
+    ):
+        assert len(set(out.columns)) == len(out.columns) and out.count() == docs.count()
+    with pytest.raises(ValueError, match="integer"):
+        katz.score_documents(docs.withColumn("doc_id", F.col("doc_id").cast("string")), F.lit(False))
+    assert language_crf.label_documents(docs.limit(0), language_crf.fit(docs)).count() == 0
+    assert toxicity_kn.score_documents(docs.limit(0), toxicity_kn.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic")).limit(0))).count() == 0
+    scored = katz.score_documents(docs.select("doc_id", "text"), F.lit(False)).collect()
+    assert sum(r.doc_id is None for r in scored) == 1 and len(scored) == docs.count()
