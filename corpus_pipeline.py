@@ -18,7 +18,10 @@ from locusloom.llm.common import shared_folder, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the share of content lines reject."""
     field = line_quality.fit(docs, table(spark, sf_dir, "labels"))
-    return line_quality.score_documents(docs, field, keep=docs.columns).where("kept").select(*docs.columns)
+    # Under other names, no column of the documents is taken for one of the operator's.
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    marked = line_quality.score_documents(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]), field, text=own["text"])
+    return marked.where("kept").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group of similar ones; documents without a doc_id stay."""
-    copies = partenum.classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = partenum.classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each document."""
     encoder = pieces.Encoder(pieces.read_vocabulary())
-    return pieces.encode(docs, encoder, keep=["doc_id", "lang", "source"]).withColumn("n_pieces", F.coalesce(F.size("ids"), F.lit(0)))
+    return pieces.encode(docs, encoder, keep=["doc_id", "lang", "source"]).withColumn("n_pieces", F.when(F.col("ids").isNull(), F.lit(0)).otherwise(F.size("ids")))
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", join), ("source mixing", mix), ("piece encoding", encode)]
@@ -55,4 +58,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # a stage's result has been read by the next one
+            _delete(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
