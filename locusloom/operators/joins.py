@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from locusloom.operators.predicates import intersects
 from locusloom.plans.binned import binned_pairs, choose_bins
+from locusloom.plans.registry import Join, joined_by, register_strategy
 from locusloom.schema import CANONICAL, Interval, IntervalSchema
 
 #: Rows up to which a side counts as small.
@@ -35,31 +36,42 @@ def overlap_join(left: DataFrame, right: DataFrame, *, how: str = "inner", left_
     """Joins rows whose intervals satisfy `predicate` (intersects, contains or within, all of which imply overlap or touch).
 
     on: further conditions over a.<column> and b.<column>. Columns of the result can be named a.<column> and b.<column>;
-    semi and anti joins return the left side's. strategy: plain, binned, or auto. bins: widths of the bins, where known.
+    semi and anti joins return the left side's. strategy: plain, binned, another that is registered (plans/registry.py), or auto. bins: widths of the bins, where known.
     """
-    how = _HOW[how.lower()]
-    if strategy == "plain" or (strategy == "auto" and (is_small(left) or is_small(right))):
-        test = predicate(Interval.of(left_schema, left_alias), Interval.of(right_schema, right_alias))
-        condition = test if on is None else test & on
-        return left.alias(left_alias).join(right.alias(right_alias), condition, {"semi": "left_semi", "anti": "left_anti"}.get(how, how))
-    x, y = _side(left, left_schema, "_l"), _side(right, right_schema, "_r")
-    pairs = binned_pairs(x, y, bins or choose_bins(x, y), None if predicate is intersects else predicate).select(F.col("_l").alias(left_alias), F.col("_r").alias(right_alias))
-    if on is not None:
-        pairs = pairs.where(on)
+    return joined_by(strategy, Join(left, right, _HOW[how.lower()], left_schema, right_schema, predicate, on, left_alias, right_alias, bins))
+
+
+def _plain(j: Join) -> DataFrame:
+    test = j.predicate(Interval.of(j.left_schema, j.left_alias), Interval.of(j.right_schema, j.right_alias))
+    condition = test if j.on is None else test & j.on
+    return j.left.alias(j.left_alias).join(j.right.alias(j.right_alias), condition, {"semi": "left_semi", "anti": "left_anti"}.get(j.how, j.how))
+
+
+def _binned(j: Join) -> DataFrame:
+    x, y = _side(j.left, j.left_schema, "_l"), _side(j.right, j.right_schema, "_r")
+    pairs = binned_pairs(x, y, j.bins or choose_bins(x, y), None if j.predicate is intersects else j.predicate).select(F.col("_l").alias(j.left_alias), F.col("_r").alias(j.right_alias))
+    if j.on is not None:
+        pairs = pairs.where(j.on)
     told = lambda alias, df: pairs.select(*_row_hash(df, alias)).distinct()
-    if how in ("semi", "anti"):
-        return _by_hash(left, told(left_alias, left), f"left_{how}")
+    if j.how in ("semi", "anti"):
+        return _by_hash(j.left, told(j.left_alias, j.left), f"left_{j.how}")
     # One aliased side at a time, so that a.x and b.x keep their meaning.
     whole = pairs
-    if how in ("left", "full"):
-        lone = _by_hash(left, told(left_alias, left), "left_anti")
-        whole = whole.unionByName(lone.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias(left_alias), F.lit(None).cast(pairs.schema[right_alias].dataType).alias(right_alias)))
-    if how in ("right", "full"):
-        lone = _by_hash(right, told(right_alias, right), "left_anti")
-        whole = whole.unionByName(lone.select(F.lit(None).cast(pairs.schema[left_alias].dataType).alias(left_alias), F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias(right_alias)))
+    row = lambda df, alias: F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(alias)
+    none = lambda alias: F.lit(None).cast(pairs.schema[alias].dataType).alias(alias)
+    if j.how in ("left", "full"):
+        lone = _by_hash(j.left, told(j.left_alias, j.left), "left_anti")
+        whole = whole.unionByName(lone.select(row(j.left, j.left_alias), none(j.right_alias)))
+    if j.how in ("right", "full"):
+        lone = _by_hash(j.right, told(j.right_alias, j.right), "left_anti")
+        whole = whole.unionByName(lone.select(none(j.left_alias), row(j.right, j.right_alias)))
     return whole
 
 
+register_strategy("binned", _binned, lambda j: True)
+register_strategy("plain", _plain, lambda j: is_small(j.left) or is_small(j.right))
+
+
 def _side(df: DataFrame, schema: IntervalSchema, name: str) -> DataFrame:
     i = Interval.of(schema)
     return df.select(i.chrom.alias("_c"), i.start.cast("long").alias("_s"), i.end.cast("long").alias("_e"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locusloom.ranges import Range, parse_range
 
+# The names of the encodings, and the default column names below.
 #: What is added to the stored start and end to get 0-based half-open ones.
 _SHIFT = {("0based", "half_open"): (0, 0), ("0based", "closed"): (0, 1), ("1based", "half_open"): (-1, -1), ("1based", "closed"): (-1, 0)}
 
@@ -26,10 +27,9 @@ class IntervalSchema:
     interval_type: str = "half_open"
 
     def __post_init__(self) -> None:
-        if self.coordinate_system not in ("0based", "1based"):
-            raise ValueError(f"coordinate_system must be '0based' or '1based', not {self.coordinate_system!r}")
-        if self.interval_type not in ("half_open", "closed"):
-            raise ValueError(f"interval_type must be 'half_open' or 'closed', not {self.interval_type!r}")
+        if (self.coordinate_system, self.interval_type) not in _SHIFT:
+            known = ", ".join(f"{system} {kind}" for system, kind in _SHIFT)
+            raise ValueError(f"unknown encoding {self.coordinate_system} {self.interval_type}; known: {known}")
 
     @property
     def shift(self) -> tuple[int, int]:

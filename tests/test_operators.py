@@ -148,3 +148,31 @@ def test_streams(spark, sides, tmp_path):
         query.stop()
     assert Counter(r.id for r in spark.table("near").collect()) == Counter(x[4] for x in A if over(x, ("c1", 5, 20)))
     assert Counter(map(tuple, spark.table("pairs").collect())) == Counter((x[4], y[4]) for x in A for y in B if over(x, y))
+
+
+def test_strategies_can_be_registered(sides):
+    from locusloom import overlap_join, register_strategy, strategies
+    from locusloom.plans.registry import unregister_strategy
+
+    left, right = sides
+    register_strategy("nothing", lambda j: j.left.alias(j.left_alias).join(j.right.alias(j.right_alias), F.lit(False)), lambda j: j.bins == [7])
+    try:
+        assert strategies()[-1] == "nothing"
+        assert overlap_join(left, right, strategy="nothing").count() == 0 == overlap_join(left, right, bins=[7]).count()
+        assert overlap_join(left, right).count() == overlap_join(left, right, strategy="plain").count() > 0
+    finally:
+        unregister_strategy("nothing")
+    with pytest.raises(ValueError, match="unknown strategy"):
+        overlap_join(left, right, strategy="nothing")
+
+
+def test_crowded_positions_run_in_segments_of_like_size(spark):
+    """All rows in one million positions, most of them in a tenth of these: windows still run in many tasks, none of which holds much."""
+    from locusloom.plans.running import _segmented, segment_limits
+
+    rows = spark.range(40_000).selectExpr("'chr1' AS chrom", "cast(if(id % 10 < 9, pmod(hash(id), 100000), pmod(hash(id), 1000000)) AS long) AS start").withColumn("end", F.col("start") + 5)
+    limits = segment_limits((rows, "start"), rows=1000)
+    sizes = [r["count"] for r in _segmented(rows, "start", limits).groupBy("_seg").count().collect()]
+    assert len(sizes) >= 35 and max(sizes) <= 1500
+    whole = cluster(rows, segment=1 << 40).agg(F.max("cluster"), F.sum("cluster")).first()
+    assert cluster(rows, segment=limits).agg(F.max("cluster"), F.sum("cluster")).first() == whole == cluster(rows).agg(F.max("cluster"), F.sum("cluster")).first()
