@@ -85,9 +85,14 @@ def _texts(lines: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return found.select("h", F.encode("line", "utf-8").alias("b")).withColumn("n", _positions(F.col("b"), shingle))
 
 
+def _hashes(raw: Column, shingle: int, whole=lambda x: x) -> Column:
+    """The shingle hashes of a line, and `whole` of them. The bytes are bound once, not copied for each shingle."""
+    return F.transform(F.array(raw), lambda r: whole(F.transform(F.sequence(F.lit(1), _positions(r, shingle)), lambda i: F.xxhash64(F.substring(r, i, F.lit(shingle))))))[0]
+
+
 def _shingles(raw: Column, shingle: int) -> Column:
-    """The distinct shingle hashes of a line. The bytes are bound once, not copied for each shingle."""
-    return F.transform(F.array(raw), lambda r: F.array_distinct(F.transform(F.sequence(F.lit(1), _positions(r, shingle)), lambda i: F.xxhash64(F.substring(r, i, F.lit(shingle))))))[0]
+    """The distinct shingle hashes of a line."""
+    return _hashes(raw, shingle, F.array_distinct)
 
 
 def _similar(x: Column, y: Column, percent: int) -> Column:
@@ -98,8 +103,9 @@ def _similar(x: Column, y: Column, percent: int) -> Column:
 def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The linked ones of distinct pairs (a, b)."""
     sides = [texts.select(F.col("h").alias(c), F.col("b").alias(f"b{c}")) for c in ("a", "b")]
-    sets = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", _shingles(F.col("ba"), shingle).alias("sa"), _shingles(F.col("bb"), shingle).alias("sb"))
-    return sets.where(_similar(F.col("sa"), F.col("sb"), percent)).select("a", "b")
+    sets = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", _hashes(F.col("ba"), shingle).alias("sa"), _hashes(F.col("bb"), shingle).alias("sb"))
+    # Both functions take repeats out, in generated code.
+    return sets.where(F.size(F.array_intersect("sa", "sb")) * 100 >= percent * F.size(F.array_union("sa", "sb"))).select("a", "b")
 
 
 def _bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
