@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -69,6 +71,28 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def pieces_of(texts: list[str], limit: int = SLICE_CHARS // 2) -> Iterator[list[str]]:
+    """The texts in lists of about `limit` characters; what is learnt from a sample is gathered list by list, so that the driver stays small."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def release() -> None:
+    """Gives memory that a fit has freed back to the system, where the allocator can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def kept_columns(df: DataFrame, keep: list[str] | None, added: list[str]) -> list[str]:
     """The columns to keep (all by default) but those that added ones of the same name replace."""
     names = {c.lower() for c in added}

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import byte_words, kept_columns, order_hash, slices, word_hashes
+from locusloom.llm.common import byte_words, kept_columns, order_hash, pieces_of, release, slices, word_hashes
 
 #: Bytes of the longest n-gram; at most 8, so that one fits a 64-bit key.
 ORDER = 6
@@ -169,12 +169,15 @@ def fit_texts(toxic: list[str], plain: list[str], curve: list[tuple[str, int]])
         return Toxicity([], np.zeros(4))
     grams, counts = [], []
     for texts in (toxic, plain):
-        data, starts, stops, _ = byte_words(pc.utf8_lower(pa.array(texts, pa.string())))
-        _, first, times = np.unique(word_hashes(data, starts, stops), return_index=True, return_counts=True)
-        keys, owner = word_grams(data, starts[first], stops[first])
-        kinds, inverse = np.unique(keys, return_inverse=True)
+        kinds, total = np.zeros(0, np.uint64), np.zeros(0)
+        for some in pieces_of(texts):
+            data, starts, stops, _ = byte_words(pc.utf8_lower(pa.array(some, pa.string())))
+            _, first, times = np.unique(word_hashes(data, starts, stops), return_index=True, return_counts=True)
+            keys, owner = word_grams(data, starts[first], stops[first])
+            kinds, inverse = np.unique(np.concatenate([kinds, keys]), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([total, times[owner]]), len(kinds))
         grams.append(kinds)
-        counts.append(np.bincount(inverse, times[owner]))
+        counts.append(total)
     made = Toxicity(levels(grams, counts), np.zeros(4))
     measured = np.concatenate([made.measures(pa.array([t for t, _ in curve[i : i + 500]], pa.string())) for i in range(0, len(curve), 500)])
     return Toxicity(made.models, _logistic(design(measured), np.array([y for _, y in curve], float)))
@@ -194,7 +197,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, text: str = "text", key: str
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(sample), "k").groupBy("k").agg(F.max("t").alias("t"), F.max("y").alias("y"), F.max("part").alias("part")).collect()
     rows.sort(key=lambda r: (str(r.k), r.t))
     sides = [[r.t for r in rows if r.part == i] for i in (0, 1)]
-    return fit_texts(sides[0], sides[1], [(r.t, r.y) for r in rows if r.part == 2])
+    made = fit_texts(sides[0], sides[1], [(r.t, r.y) for r in rows if r.part == 2])
+    del rows, sides
+    release()
+    return made
 
 
 def score_documents(documents: DataFrame, model: Toxicity, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
