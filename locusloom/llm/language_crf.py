@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusloom.llm import crf
-from locusloom.llm.common import byte_words, kept_columns, mixed, order_hash, slices, word_hashes
+from locusloom.llm.common import byte_words, kept_columns, mixed, order_hash, release, slices, word_hashes
 
 UNKNOWN = "und"
 #: Training documents of each label at most.
@@ -139,7 +139,10 @@ def fit(documents: DataFrame, *, text: str = "text", lang: str = "lang", key: st
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.y, str(r.k))):
         texts.setdefault(r.y, []).append(r.t)
-    return fit_texts(texts)
+    made = fit_texts(texts)
+    del rows, texts
+    release()
+    return made
 
 
 def label_documents(documents: DataFrame, field: LanguageField, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:

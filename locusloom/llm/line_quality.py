@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusloom.llm import crf
-from locusloom.llm.common import byte_words, kept_columns, mixed, order_hash, slices, word_hashes
+from locusloom.llm.common import byte_words, kept_columns, mixed, order_hash, pieces_of, release, slices, word_hashes
 
 BOILERPLATE, CONTENT = 0, 1
 #: Labels of training documents: at most so many of each, those first by hash of doc_id.
@@ -154,7 +154,8 @@ class LineField:
 
 def fit_lines(good: list[str], bad: list[str], seed: int = 7) -> LineField:
     """The field learnt from chains spliced of runs of lines of good and of bad texts; without one of the two kinds, a field that calls every line content."""
-    pools = [(got := read_lines(pa.array(texts, pa.string()))).features[got.words > 0] for texts in (bad, good)]
+    features = lambda texts: (got := read_lines(pa.array(texts, pa.string()))).features[got.words > 0]
+    pools = [np.concatenate([np.zeros((0, len(_MEASURES) + 2), np.int64), *map(features, pieces_of(texts))]) for texts in (bad, good)]
     if not all(map(len, pools)):
         return LineField(np.tile([0.0, 1.0], (N_FEATURES, 1)), np.zeros((2, 2)))
     rng = np.random.default_rng(seed)
@@ -180,7 +181,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, text: str = "text", key: str
     picked = documents.sparkSession.createDataFrame(chosen, marked.schema)  # at most 2 * max_docs rows
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(picked), "k").groupBy("k").agg(F.max("t").alias("t"), F.max("y").alias("y")).collect()
     rows.sort(key=lambda r: (str(r.k), r.t))
-    return fit_lines([r.t for r in rows if r.y == 1], [r.t for r in rows if r.y == 0])
+    made = fit_lines([r.t for r in rows if r.y == 1], [r.t for r in rows if r.y == 0])
+    del rows
+    release()
+    return made
 
 
 def repeated_words(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
