@@ -13,7 +13,7 @@ _BED = ["chrom string", "start long", "end long", "name string", "score double",
 _PEAK = [*_BED[:6], "signal_value double", "p_value double", "q_value double", "peak long"]
 _GFF = "chrom string, source string, type string, start long, end long, score string, strand string, phase string, attributes string"
 _VCF = "chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string"
-#: 1-based, closed; VCF records get an end from the length of REF.
+#: 1-based, closed.
 GFF_SCHEMA = IntervalSchema(coordinate_system="1based", interval_type="closed")
 VCF_SCHEMA = replace(GFF_SCHEMA, strand=None)
 
@@ -41,8 +41,11 @@ def read_gff(spark: SparkSession, path: str) -> tuple[DataFrame, IntervalSchema]
 
 
 def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, IntervalSchema]:
+    """Records with start and end: to END of INFO, else by SVLEN for symbolic alleles, else over REF."""
     df = _tsv(spark, path, _VCF)
-    return df.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + F.length("ref") - 1), VCF_SCHEMA
+    told = lambda name: F.expr(f"try_cast(nullif(regexp_extract(info, '(?:^|;){name}=(-?[0-9]+)', 1), '') AS bigint)")
+    by_length = F.when(F.col("alt").startswith("<"), F.col("pos") + F.abs(told("SVLEN")))
+    return df.withColumn("start", F.col("pos")).withColumn("end", F.coalesce(told("END"), by_length, F.col("pos") + F.length("ref") - 1)), VCF_SCHEMA
 
 
 def read_parquet(spark: SparkSession, path: str, schema: IntervalSchema = CANONICAL) -> tuple[DataFrame, IntervalSchema]:
