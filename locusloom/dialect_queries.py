@@ -78,7 +78,7 @@ _query("sql_exists", f"SELECT a.name FROM peaks a WHERE EXISTS (SELECT 1 FROM fe
 _query("sql_not_exists", f"SELECT a.name FROM peaks a WHERE NOT EXISTS (SELECT 1 FROM features b WHERE {_ON})", f"SELECT a.name FROM peaks a WHERE NOT EXISTS (SELECT 1 FROM features b WHERE {_OVERLAP})")
 _query("sql_semi_join", f"SELECT a.name FROM peaks a LEFT SEMI JOIN features b ON {_ON}", f"SELECT a.name FROM peaks a WHERE EXISTS (SELECT 1 FROM features b WHERE {_OVERLAP})")
 _query("sql_self_join", f"SELECT {_NAMES} FROM peaks a JOIN peaks b ON {_ON} WHERE a.name < b.name", f"SELECT {_NAMES} FROM peaks a JOIN peaks b ON {_OVERLAP} WHERE a.name < b.name")
-_query("sql_three_relations", f"SELECT {_NAMES}, c.name AS c_name FROM peaks a JOIN features b ON {_ON} JOIN peaks c ON b.interval INTERSECTS c.interval AND c.strand = '+'", f"SELECT {_NAMES}, c.name AS c_name {_INNER} JOIN peaks c ON {_OVERLAP.replace('b.', 'c.').replace('a.', 'b.')} AND c.strand = '+'")
+_query("sql_three_relations", f"SELECT {_NAMES}, c.name AS c_name FROM peaks a JOIN features b ON {_ON} JOIN peaks c ON b.interval INTERSECTS c.interval AND c.strand = '+'", f"SELECT a_name, b.b_name, c.name AS c_name FROM ab b JOIN peaks c ON {_OVERLAP.replace('b.', 'c.').replace('a.', 'b.')} AND c.strand = '+'", f', ab AS MATERIALIZED (SELECT {_NAMES}, b.chrom, b."start", b."end" {_INNER})')
 _ONE = "chr1:20000-40000"
 _IN_ONE = "chrom = 'chr1' AND \"start\" < 40000 AND \"end\" > 20000"
 _query("sql_using", f"SELECT chrom, COUNT(*) AS n FROM peaks JOIN (SELECT DISTINCT chrom FROM features WHERE interval INTERSECTS '{_ONE}') d USING (chrom) GROUP BY chrom", f"SELECT chrom, COUNT(*) AS n FROM peaks JOIN (SELECT DISTINCT chrom FROM features WHERE {_IN_ONE}) d USING (chrom) GROUP BY chrom")
