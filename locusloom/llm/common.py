@@ -162,6 +162,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def partition_keys(n: int) -> list[int]:
+    """For each of n hash partitions an integer that Spark deals to it (Murmur3 of an int column, seed 42), so that rows dealt by these spread evenly."""
+    turn = lambda x, by: (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+    found, at = np.full(n, -1, np.int64), 0
+    while (found < 0).any():
+        x = np.arange(at, at + 4 * n + 64, dtype=np.uint32)
+        k = turn(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = (turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        spot = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n
+        free = found[spot] < 0
+        found[spot[free][::-1]] = x[free][::-1]
+        at += len(x)
+    return found.tolist()
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes, from its eight-byte parts."""
     out = mixed((stops - starts).astype(np.uint64) * _ODD)

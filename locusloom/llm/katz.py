@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import byte_words, cut, integer_key, lowered, mixed, slices, word_hashes
+from locusloom.llm.common import byte_words, cut, integer_key, lowered, mixed, partition_keys, slices, word_hashes
 
 #: Words with at least this share of the training tokens count as frequent; contexts need SHARE of them, so all are.
 FREQUENT, SHARE = 2.0**-17, 0.0
@@ -379,9 +379,10 @@ def score_documents(documents: DataFrame, held_out: Column, *, text: str = "text
     level = word_level(counted, frequent)
     parts = max(8, -(-level.total // TOKENS))
     tasks = max(8, -(-parts // TASK))
-    packed = occurrences(documents, level, parts, text=text, key=key, held_out=held_out).withColumn("q", F.col("p") % tasks).repartition(tasks, "q")
+    dealt = F.expr(f"element_at(array({', '.join(map(str, partition_keys(tasks)))}), p % {tasks} + 1)")  # a partition for each run of parts
+    packed = occurrences(documents, level, parts, text=text, key=key, held_out=held_out).withColumn("q", dealt).repartition(tasks, "q")
     told = asked(packed, level, parts).repartition(tasks, "b")
-    answers = answered(told, max(1.0, share * level.total)).withColumn("q", F.col("p") % tasks).repartition(tasks, "q")
+    answers = answered(told, max(1.0, share * level.total)).withColumn("q", dealt).repartition(tasks, "q")
 
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         out: list[pa.RecordBatch] = []

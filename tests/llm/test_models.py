@@ -289,6 +289,14 @@ def test_words_of_any_script_vote_for_the_language():
     assert field.documents(pa.array(["12 … 34", None]))[0] == ["und", "und"]
 
 
+def test_partition_keys_meet_each_partition(spark):
+    from locusloom.llm.common import partition_keys
+
+    for n in (1, 8, 51):
+        rows = spark.createDataFrame([(k,) for k in partition_keys(n)], "k int").select(F.pmod(F.hash("k"), F.lit(n)).alias("p"))
+        assert [r.p for r in rows.collect()] == list(range(n))
+
+
 def test_columns_with_the_names_of_added_ones_are_replaced(spark, encoder):
     """By default all columns are kept but those that an operator adds; keys other than integers are refused."""
     docs = spark.createDataFrame([(1, "one two three " * 30, "en", "s"), *ODD], DOCS).withColumns({c: F.lit("clash") for c in ("n_words", "lang_pred", "ids", "score", "predicted")})
