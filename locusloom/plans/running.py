@@ -14,24 +14,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a segment, about, and the most limits that are sent to tasks.
-ROWS, MOST = 1 << 19, 10_000
+ROWS, MOST = 1 << 19, 2048
 
 Segments = int | list[float]
 
 
 def segment_limits(*sides: tuple[DataFrame, str], rows: int = ROWS) -> list[float]:
-    """Limits of segments of about equal rows, from one aggregate over the positions (DataFrame, column) of all sides: a count and at most MOST quantiles."""
+    """Limits of segments of about equal rows, from one aggregate over the positions (DataFrame, column) of all sides: their count and MOST quantiles, of which as many are used as there are rows for."""
     every = [df.select(F.col(f"`{c}`").cast("double").alias("p")) for df, c in sides]
     spark, both = every[0].sparkSession, every[0]
     for x in every[1:]:
         both = both.unionByName(x)
-    n = both.count()
-    wanted = min(MOST, max(-(-n // rows), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    if n < 2 or wanted < 2:
-        return []
-    share = [k / wanted for k in range(1, wanted)]
-    found = both.agg(F.percentile_approx("p", share, 4 * wanted).alias("q")).first().q or []
-    return sorted(set(found))
+    got = both.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("p", [k / MOST for k in range(1, MOST)], 4 * MOST).alias("q")).first()
+    wanted = min(MOST, max(-(-got.n // rows), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return sorted({got.q[k * MOST // wanted - 1] for k in range(1, wanted)}) if got.q else []
 
 
 def segment_of(position: Column, size: int) -> Column:
