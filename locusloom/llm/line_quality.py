@@ -66,7 +66,7 @@ def _table(wanted: str) -> np.ndarray:
         "marks": {x for x in range(33, 127) if not chr(x).isalnum()},
         "chars": {x for x in range(256) if x & 0xC0 != 0x80},
     }
-    return np.isin(np.arange(256), list(kinds[wanted])).astype(np.int32)
+    return np.isin(np.arange(256), list(kinds[wanted])).astype(np.uint8)
 
 
 _CLASSES = {x: _table(x) for x in ("symbols", "upper", "letters", "digits", "shouts", "marks", "chars")}
@@ -93,8 +93,12 @@ class Lines:
 
 
 def _sums(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return total[stops] - total[starts]
+    """Sums of disjoint, ordered runs of the values, without a running sum of all."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    padded = np.append(values, values.dtype.type(0))
+    total = np.add.reduceat(padded, np.stack([starts, stops], 1).ravel(), dtype=np.int64)[::2]
+    return np.where(stops > starts, total, 0)
 
 
 def read_lines(texts: pa.Array) -> Lines:
