@@ -44,7 +44,17 @@ def stored(df: DataFrame) -> DataFrame:
     """The same rows as a Parquet table in the shared checkpoint folder: as cut(), for tables that are large or read in parts."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.option("compression", "uncompressed").parquet(path)  # codecs keep native memory
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more: what was made of them is stored itself."""
+    for table_ in tables:
+        context = table_.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(table_._stored_at)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Rows of 4 KB at most in the filter of sieve(), whatever the input.

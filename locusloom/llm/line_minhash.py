@@ -33,7 +33,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import among, cut, integer_key, sieve, stored
+from locusloom.llm.common import among, cut, discard, integer_key, sieve, stored
 from locusloom.llm.components import components
 
 SHINGLE, PERCENT = 9, 80
@@ -76,7 +76,9 @@ def _members(in_bands: DataFrame) -> DataFrame:
     several = stored(in_bands.groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x < y").select(F.col("band").alias("v")))
     members = stored(among(in_bands, "band", several))
     pivots = members.groupBy("band").agg(F.max(F.struct("c", "h")).alias("p")).select(F.col("band").alias("e"), F.col("p.h").alias("a"))
-    return stored(members.join(pivots, F.col("band") == F.col("e")).select("band", "h", "a"))
+    out = stored(members.join(pivots, F.col("band") == F.col("e")).select("band", "h", "a"))
+    discard(several, members)
+    return out
 
 
 def _texts(lines: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -124,7 +126,7 @@ def _others(members: DataFrame, found: DataFrame, texts: DataFrame, shingle: int
     told = stored(told.select("band", "h", F.coalesce("rh", "h").alias("root"), F.coalesce("ra", "a").alias("head")))
     # A group of two has been compared; one whose members are all of the pivot's component has nothing left.
     left = told.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("root") != F.col("head")).alias("o")).where("c > 2 and o > 0").select(F.col("band").alias("g"))
-    held = stored(told.join(left, F.col("band") == F.col("g"), "left_semi"))
+    held = group = stored(told.join(left, F.col("band") == F.col("g"), "left_semi"))
     own = stored(among(texts, "h", held.select(F.col("h").alias("v")).distinct()))
     known = stored(own.join(_bitmaps(own, shingle), F.col("h") == F.col("v")).select("v", "b", F.size(_shingles(F.col("b"), shingle)).alias("n"), "bits"))
     held = held.join(known.select("v", "n"), F.col("h") == F.col("v")).drop("v")
@@ -159,17 +161,22 @@ def _others(members: DataFrame, found: DataFrame, texts: DataFrame, shingle: int
     links = F.struct("x", "y")
     for step in (opened, placed, asked, held_sets, met):  # each step's result is bound to a variable, so that it is made once
         links = F.transform(F.array(links), step)[0]
-    return blocks.select(F.explode(F.array_distinct(links)).alias("l")).select("l.a", "l.b").distinct()
+    out = cut(blocks.select(F.explode(F.array_distinct(links)).alias("l")).select("l.a", "l.b").distinct())
+    discard(told, group, own, known)
+    return out
 
 
 def linked_lines(lines: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, minima: int = MINIMA, bands: tuple = BANDS) -> DataFrame:
     """(id, root) of the hashes of linked lines that are not the least of their component."""
-    members = _members(banded(stored(signatures(lines, shingle=shingle, minima=minima)), bands))
+    signed = stored(signatures(lines, shingle=shingle, minima=minima))
+    members = _members(banded(signed, bands))
+    discard(signed)
     pairs = members.where("h <> a").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
     texts = stored(_texts(lines, members.select(F.col("h").alias("v")).distinct(), shingle))
     links = cut(_compared(pairs, texts, shingle, percent))
     found = components(links)
-    more = cut(_others(members, found, texts, shingle, percent))
+    more = _others(members, found, texts, shingle, percent)
+    discard(members, texts)
     return found if more.isEmpty() else components(links.union(more))
 
 
