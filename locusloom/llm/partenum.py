@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import byte_words, cut, grouped, integer_key, lowered, mixed, slices, word_hashes
+from locusloom.llm.common import byte_words, cut, grouped, integer_key, lowered, mixed, slices, stored, word_hashes
 from locusloom.llm.components import components
 
 WORDS = 4
@@ -122,7 +122,8 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
 CELLS = 256
 #: Members of a group that one block compares with as many others.
 BLOCK = 2048
-_SENT = "at long, x long, a long, b long, sig long, n long, sketch binary, l long"
+#: sig: the signature of a finished pair; of a document, the first key in its batch with an equal set.
+_SENT = "at long, x long, a long, b long, sig long, n long, sketch binary"
 
 
 def sketch(elements: np.ndarray) -> bytes:
@@ -168,12 +169,11 @@ def _sent(keys: np.ndarray, null: np.ndarray, sets: list[np.ndarray], bands: Ban
             column(digests[:, 1], zeros(n, np.int64), zeros(m, np.int64), part > 0),
             column(keys, owner[first], least[rest], nulls),
             column(zeros(d, np.int64), zeros(n, np.int64), owner[rest], part < 2),
-            column(zeros(d, np.int64), zeros(n, np.int64), sigs[rest], part < 2),
+            column(local, zeros(n, np.int64), sigs[rest], (part == 1) | nulls),
             column(sizes, zeros(n, np.int64), zeros(m, np.int64), part > 0),
             sketches,
-            column(local, zeros(n, np.int64), zeros(m, np.int64), (part > 0) | nulls),
         ],
-        names=["at", "x", "a", "b", "sig", "n", "sketch", "l"],
+        names=["at", "x", "a", "b", "sig", "n", "sketch"],
     )
 
 
@@ -189,7 +189,7 @@ def met(documents: DataFrame, *, text: str = "text", key: str = "doc_id", words:
                 null = keys.is_null().to_numpy(zero_copy_only=False)
                 yield _sent(keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null, shingle_sets(part.column("t"), words), bands)
 
-    near = source.mapInArrow(run, _SENT).withColumn("m", F.least(F.min("a").over(Window.partitionBy("at", "x")), "l"))  # a group has a row a batch
+    near = source.mapInArrow(run, _SENT).withColumn("m", F.least(F.min("a").over(Window.partitionBy("at", "x")), F.when(F.col("n").isNotNull(), F.col("sig"))))  # a group has a row a batch
     star = F.when(F.col("b").isNotNull(), F.struct("sig", "a", "b")).when(F.col("n").isNull() & (F.col("a") > F.col("m")), F.struct(F.col("at").alias("sig"), F.col("m").alias("a"), F.col("a").alias("b")))
     near = near.withColumn("s", star).where("n is not null or s is not null")
     return near.select("s.sig", "s.a", "s.b", F.when(F.col("n").isNotNull(), F.col("a")).alias("k"), "n", "sketch", "m")
@@ -285,7 +285,7 @@ def _compared(documents: DataFrame, pairs: DataFrame, text: str, key: str, words
 def classes(documents: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, ratio: float = RATIO) -> DataFrame:
     """One row per row of documents: the key, n_shingles, component_id."""
     names = {"text": text, "key": key}
-    near = cut(met(documents, **names, words=words, percent=percent, ratio=ratio))
+    near = stored(met(documents, **names, words=words, percent=percent, ratio=ratio))
     told = near.where("n is not null")
     stars = near.where("b is not null").select("sig", "a", "b")
     # Most signatures of a family of copies have the same members, and so the same pairs: one of them stands for all.
@@ -294,7 +294,7 @@ def classes(documents: DataFrame, *, text: str = "text", key: str = "doc_id", wo
     halves = [x for h in hashes for x in (h.bitwiseAND(F.lit(2**32 - 1)), F.shiftrightunsigned(h, 32))]
     same = [F.min("a"), F.count(F.lit(1)), *[F.sum(x) for x in halves]]
     stands = stars.groupBy("sig").agg(F.struct(*same).alias("same")).groupBy("same").agg(F.min("sig").alias("sig")).select("sig")
-    stars = cut(stars.join(stands, "sig"))
+    stars = stored(stars.join(stands, "sig"))
     equal = told.where("n > 0 and k > m").select(F.col("m").alias("a"), F.col("k").alias("b"))
     one = told.where("k is not null").groupBy("k").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     plausible = cut(_plausible(stars.select("a", "b").distinct(), one, percent))
@@ -304,10 +304,10 @@ def classes(documents: DataFrame, *, text: str = "text", key: str = "doc_id", wo
     roots = found.select(F.col("id").alias("v"), "root")
     both = stars.join(roots.withColumnRenamed("v", "a").withColumnRenamed("root", "ra"), "a", "left").select("sig", "a", "b", F.coalesce("ra", "a").alias("ra"))
     both = both.join(roots.withColumnRenamed("v", "b").withColumnRenamed("root", "rb"), "b", "left").select("sig", "a", "b", "ra", F.coalesce("rb", "b").alias("rb"))
-    both = cut(both)
+    both = stored(both)
     apart = both.where("ra <> rb").select("sig").distinct()
     if not apart.isEmpty():
-        split = cut(both.join(apart, "sig"))
+        split = stored(both.join(apart, "sig"))
         members = split.select("sig", F.col("a").alias("k"), F.col("ra").alias("root")).union(split.select("sig", F.col("b").alias("k"), F.col("rb").alias("root"))).distinct()
         heads = split.groupBy("sig").agg(F.min("ra").alias("head"))
         rest = _others(members.join(heads, "sig").join(one, "k").select("sig", "k", "root", "head", "n", "sketch"), percent)
