@@ -22,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes that the JVM packs into one batch for Python at most.
+BATCH_BYTES = 8 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same DataFrame, in a session whose batches for Python hold BATCH_BYTES at most: long texts would fill large buffers on both sides."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(c for c in conf.get(name) if c.isdigit() or c == "-")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a folder of this machine only where none is set (tests, local mode)."""
     context = spark.sparkContext

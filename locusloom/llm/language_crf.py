@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusloom.llm import crf
-from locusloom.llm.common import byte_words, kept_columns, mixed, order_hash, release, slices, word_hashes
+from locusloom.llm.common import byte_words, in_small_batches, kept_columns, mixed, order_hash, release, slices, word_hashes
 
 UNKNOWN = "und"
 #: Training documents of each label at most.
@@ -157,7 +157,7 @@ def label_documents(documents: DataFrame, field: LanguageField, *, text: str = "
                 langs, scores = field.documents(part.column("_text"))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    return source.mapInArrow(run, ", ".join([*schema, "lang_pred string", "score double"]))
+    return in_small_batches(source).mapInArrow(run, ", ".join([*schema, "lang_pred string", "score double"]))
 
 
 def label_words(documents: DataFrame, field: LanguageField, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -174,4 +174,4 @@ def label_words(documents: DataFrame, field: LanguageField, *, text: str = "text
                 best = post.argmax(1) if len(post) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(owner)), pa.array(np.arange(len(owner)) - ends[owner], pa.int64()), pa.array(words, pa.string()), pa.array([field.labels[y] for y in best], pa.string()), pa.array(post.max(1) if len(post) else [], pa.float64())], names=["key", "word_no", "word", "lang", "posterior"])
 
-    return source.mapInArrow(run, f"key {kind}, word_no long, word string, lang string, posterior double").withColumnRenamed("key", key)
+    return in_small_batches(source).mapInArrow(run, f"key {kind}, word_no long, word string, lang string, posterior double").withColumnRenamed("key", key)

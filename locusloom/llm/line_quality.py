@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusloom.llm import crf
-from locusloom.llm.common import byte_words, kept_columns, mixed, order_hash, pieces_of, release, slices, word_hashes
+from locusloom.llm.common import byte_words, in_small_batches, kept_columns, mixed, order_hash, pieces_of, release, slices, word_hashes
 
 BOILERPLATE, CONTENT = 0, 1
 #: Labels of training documents: at most so many of each, those first by hash of doc_id.
@@ -238,7 +238,7 @@ def score_documents(documents: DataFrame, field: LineField, *, text: str = "text
                 columns = [*part.columns[:-1], *(pa.array(x, pa.int64()) for x in out.values()), pa.array(failed), pa.array(content, pa.int64()), pa.array(share, mask=n == 0), pa.array(~failed & (share >= min_share))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(x.split()[0] for x in added.split(", "))])
 
-    return source.mapInArrow(run, f"{schema}, {added}" if schema else added)
+    return in_small_batches(source).mapInArrow(run, f"{schema}, {added}" if schema else added)
 
 
 def label_lines(documents: DataFrame, field: LineField, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -254,6 +254,6 @@ def label_lines(documents: DataFrame, field: LineField, *, text: str = "text", k
                 texts = [y for x in part.column("text").to_pylist() for y in (x or "").split("\n")]
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(owner)), pa.array(np.arange(len(owner)) - lines.line_ends[owner], pa.int64()), pa.array(texts, pa.string()), pa.array(field.label(lines) == CONTENT)], names=["key", "line_no", "line", "content"])
 
-    return source.mapInArrow(run, f"key {kind}, line_no long, line string, content boolean").withColumnRenamed("key", key)
+    return in_small_batches(source).mapInArrow(run, f"key {kind}, line_no long, line string, content boolean").withColumnRenamed("key", key)
 
 

@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import kept_columns, slices, word_hashes
+from locusloom.llm.common import in_small_batches, kept_columns, slices, word_hashes
 
 MODEL = os.environ.get("LOCUSLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Inside, the marker U+2581 is one byte that UTF-8 never has.
 MARK = 0xFF
 #: Parts of at most so many bytes are decoded together, longer ones alone.
 LONG = 48
-CHARS = 3_000_000
+CHARS = 1_000_000
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -328,7 +328,7 @@ def encode(documents: DataFrame, encoder: Encoder, *, text: str = "text", keep:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null() if texts.null_count else None)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*keep, to])
 
-    return source.mapInArrow(run, ", ".join([*schema, f"`{to}` array<int>"]))
+    return in_small_batches(source).mapInArrow(run, ", ".join([*schema, f"`{to}` array<int>"]))
 
 
 def decode(encoded: DataFrame, encoder: Encoder, *, ids: str = "ids", keep: list[str] | None = None, to: str = "text") -> DataFrame:
@@ -342,7 +342,7 @@ def decode(encoded: DataFrame, encoder: Encoder, *, ids: str = "ids", keep: list
             texts = [None if x is None else encoder.decode(x) for x in batch.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, to])
 
-    return source.mapInArrow(run, ", ".join([*schema, f"`{to}` string"]))
+    return in_small_batches(source).mapInArrow(run, ", ".join([*schema, f"`{to}` string"]))
 
 
 def audit(documents: DataFrame, encoder: Encoder, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -360,4 +360,4 @@ def audit(documents: DataFrame, encoder: Encoder, *, text: str = "text", key: st
                 byte = np.concatenate([[0], np.cumsum(encoder.is_byte[ids])])
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(ends)), pa.array(byte[ends[1:]] - byte[ends[:-1]], pa.int64()), pa.array([hashlib.md5(x.astype("<i4").tobytes()).hexdigest() for x in spans]), pa.array(same, pa.bool_())], names=["key", "n_pieces", "n_byte_pieces", "ids_md5", "decodes"])
 
-    return source.mapInArrow(run, f"key {kind}, n_pieces long, n_byte_pieces long, ids_md5 string, decodes boolean").withColumnRenamed("key", key)
+    return in_small_batches(source).mapInArrow(run, f"key {kind}, n_pieces long, n_byte_pieces long, ids_md5 string, decodes boolean").withColumnRenamed("key", key)

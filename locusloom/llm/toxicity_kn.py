@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import byte_words, kept_columns, order_hash, pieces_of, release, slices, word_hashes
+from locusloom.llm.common import byte_words, in_small_batches, kept_columns, order_hash, pieces_of, release, slices, word_hashes
 
 #: Bytes of the longest n-gram; at most 8, so that one fits a 64-bit key.
 ORDER = 6
@@ -216,4 +216,4 @@ def score_documents(documents: DataFrame, model: Toxicity, *, text: str = "text"
                 scores = 1 / (1 + np.exp(-np.clip(design(m) @ model.curve, -30, 30))) if model.models else np.zeros(len(m))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, (m[:, 0], m[:, 1], m[:, 2], scores)), pa.array((scores >= 0.5).astype(np.int32))], names=[*keep, "toxic_ll", "plain_ll", "best_window", "score", "predicted"])
 
-    return source.mapInArrow(run, ", ".join([*schema, "toxic_ll double, plain_ll double, best_window double, score double, predicted int"]))
+    return in_small_batches(source).mapInArrow(run, ", ".join([*schema, "toxic_ll double, plain_ll double, best_window double, score double, predicted int"]))
