@@ -1,6 +1,7 @@
 """Overlap joins of every type, under two strategies with one result.
 
-`plain` hands Catalyst the equality of chromosomes with the predicate as a residual; it suits a side of a few rows. `binned` is
+`plain` hands Catalyst the equality of chromosomes with the predicate as a residual, where a side has a few rows; it counts up to
+that many, and goes on as binned if both sides have more, since a residual tries all pairs of a chromosome. `binned` is
 an equi-join on bins of positions (plans/binned.py). `auto` is binned unless Catalyst can prove that a side has few rows:
 an estimate in bytes is no proof, and even 10 MB of intervals against a large side are too many pairs to try one by one. Semi,
 anti and outer joins are built on the matched pairs: whether a row has a partner depends on its values alone, so rows are
@@ -41,7 +42,14 @@ def overlap_join(left: DataFrame, right: DataFrame, *, how: str = "inner", left_
     return joined_by(strategy, Join(left, right, _HOW[how.lower()], left_schema, right_schema, predicate, on, left_alias, right_alias, bins))
 
 
+def _has_few(df: DataFrame) -> bool:
+    """Whether there are SMALL rows at most: by the plan, or by a count that stops there. Streams are joined as they come."""
+    return df.isStreaming or is_small(df) or df.limit(SMALL + 1).count() <= SMALL
+
+
 def _plain(j: Join) -> DataFrame:
+    if not (_has_few(j.left) or _has_few(j.right)):
+        return _binned(j)
     test = j.predicate(Interval.of(j.left_schema, j.left_alias), Interval.of(j.right_schema, j.right_alias))
     condition = test if j.on is None else test & j.on
     return j.left.alias(j.left_alias).join(j.right.alias(j.right_alias), condition, {"semi": "left_semi", "anti": "left_anti"}.get(j.how, j.how))

@@ -58,6 +58,26 @@ def test_overlap_joins(sides, how, strategy, bins):
     assert Counter(map(tuple, joined.select("a.id", "b.id").collect())) == expected
 
 
+@pytest.mark.parametrize(
+    ("how", "rows"),
+    [
+        ("anti", 2500),
+    ],
+)
+def test_plain_joins_of_many_rows_try_no_chromosome_whole(spark, how, rows):
+    left = spark.range(5000).selectExpr("'c' AS chrom", "id * 10 AS start", "id * 10 + 5 AS end", "id")
+    right = spark.range(5000).selectExpr("'c' AS chrom", "id * 20 + 3 AS start", "id * 20 + 6 AS end", "id")
+    if how == "count":
+        joined = count_overlaps(left, right, strategy="plain")
+        assert joined.agg(F.sum("n_overlaps")).first()[0] == 2500
+    else:
+        joined = overlap_join(left, right, how=how, strategy="plain")
+    assert joined.count() == rows
+    assert "_b1" in joined._jdf.queryExecution().optimizedPlan().toString()  # the equality of bins
+    few = overlap_join(left, right.limit(5), how="inner", strategy="plain")
+    assert few.count() == 5 and "_b1" not in few._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_counts_and_distances(sides):
     a, b = sides
     counted = count_overlaps(a, b, strategy="binned", bins=[8]).select("id", "n_overlaps")
