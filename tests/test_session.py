@@ -44,6 +44,10 @@ def test_other_encoding(session):
 def test_joins(session):
     pairs = 'SELECT a.name, b.name AS other FROM features a {} mask b ON a.interval INTERSECTS b.interval AND a."start" >= 0'
     assert rows(session.sql(pairs.format("JOIN"))) == [("a", "m1"), ("a", "m2"), ("b", "m1"), ("b", "m2"), ("c", "m3")]
+    three = session.sql("SELECT a.name, b.name AS other, c.name AS third FROM features a JOIN mask b ON a.interval INTERSECTS b.interval JOIN annotations c ON b.interval INTERSECTS c.interval")
+    assert rows(three) == [("a", "m1", "g1"), ("b", "m1", "g1"), ("c", "m3", "g2")]
+    text = session.to_spark_sql("SELECT 1 FROM features a JOIN mask b ON a.interval INTERSECTS b.interval JOIN annotations c ON b.interval INTERSECTS c.interval")
+    assert text.count("= `_start_") == 2 and "<" not in text
     anti = session.sql("SELECT a.name FROM features a LEFT ANTI JOIN annotations b ON a.interval INTERSECTS b.interval")
     assert rows(anti) == [("b",)]
     exists = session.sql("SELECT a.name FROM features a WHERE NOT EXISTS (SELECT 1 FROM annotations b WHERE a.interval INTERSECTS b.interval)")
