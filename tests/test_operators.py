@@ -64,6 +64,7 @@ def test_overlap_joins(sides, how, strategy, bins):
         ("anti", 2500),
         ("full", 7500),
         ("left", 5000),
+        ("count", 5000),
     ],
 )
 def test_plain_joins_of_many_rows_try_no_chromosome_whole(spark, how, rows):
