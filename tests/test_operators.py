@@ -65,6 +65,7 @@ def test_overlap_joins(sides, how, strategy, bins):
         ("full", 7500),
         ("left", 5000),
         ("count", 5000),
+        ("inner", 2500),
     ],
 )
 def test_plain_joins_of_many_rows_try_no_chromosome_whole(spark, how, rows):
