@@ -67,6 +67,7 @@ def test_overlap_joins(sides, how, strategy, bins):
         ("count", 5000),
         ("inner", 2500),
         ("right", 5000),
+        ("semi", 2500),
     ],
 )
 def test_plain_joins_of_many_rows_try_no_chromosome_whole(spark, how, rows):
