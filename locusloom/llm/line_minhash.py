@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import random
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +42,8 @@ MINIMA = 12
 BANDS = ((4, 7, 10), (0, 3, 9), (2, 6, 8), (1, 5, 11), (2, 3, 10), (1, 5, 7), (0, 4, 6), (8, 9, 11))
 #: Members of a block, and their shingles, about; words of 64 bits in a bitmap of shingles.
 BLOCK, BLOCK_SHINGLES, WORDS = 512, 400_000, 32
+#: Neighbouring shingles that one generated row signs, a power of 2.
+RUN = 4
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -59,10 +61,12 @@ def signatures(lines: DataFrame, *, shingle: int = SHINGLE, minima: int = MINIMA
     """(h, c, m0, m1, ...): how often each distinct line occurs, and its minima."""
     rng = random.Random(seed)
     raw = lines.select("h", F.encode("line", "utf-8").alias("b")).withColumn("n", _positions(F.col("b"), shingle))
-    at = raw.select("h", "b", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    x = at.select("h", "i", F.hash(F.substring("b", F.col("i"), F.lit(shingle))).alias("x"))
-    least = [F.min(F.col("x").bitwiseXOR(F.lit(rng.getrandbits(32) - 2**31).cast("int"))).alias(f"m{j}") for j in range(minima)]
-    return x.groupBy("h").agg(F.count_if(F.col("i") == 1).alias("c"), *least)
+    at = raw.select("h", "b", "n", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(RUN))).alias("i"))
+    # Position 0 is the first shingle, too, and beyond a line's end a row repeats the last one: both change no minimum.
+    x = at.select("h", "i", *[F.hash(F.substring("b", F.least(F.col("i").bitwiseOR(F.lit(j)), F.col("n")), F.lit(shingle))).alias(f"x{j}") for j in range(RUN)])
+    turned = [F.lit(rng.getrandbits(32) - 2**31).cast("int") for _ in range(minima)]
+    least = [F.min(F.least(*[F.col(f"x{i}").bitwiseXOR(c) for i in range(RUN)])).alias(f"m{j}") for j, c in enumerate(turned)]
+    return x.groupBy("h").agg(F.count_if(F.col("i") == 0).alias("c"), *least)
 
 
 def banded(signed: DataFrame, bands: tuple = BANDS) -> DataFrame:
@@ -97,17 +101,18 @@ def _shingles(raw: Column, shingle: int) -> Column:
     return _hashes(raw, shingle, F.array_distinct)
 
 
-def _similar(x: Column, y: Column, percent: int) -> Column:
-    c = F.size(F.array_intersect(x, y))
-    return F.when(F.least(F.size(x), F.size(y)) * 100 >= percent * F.greatest(F.size(x), F.size(y)), c * 100 >= percent * (F.size(x) + F.size(y) - c)).otherwise(F.lit(False))
+def _alike(pairs: DataFrame, x: str, y: str, shingle: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose lines, in columns x and y, are similar."""
+    # Rows come out of a generator, which no filter is moved through: else each set is made twice.
+    sets = pairs.select("a", "b", F.explode(F.array(F.struct(_hashes(F.col(x), shingle).alias("x"), _hashes(F.col(y), shingle).alias("y")))).alias("s"))
+    # Both functions take repeats out, in generated code.
+    return sets.where(F.size(F.array_intersect("s.x", "s.y")) * 100 >= percent * F.size(F.array_union("s.x", "s.y"))).select("a", "b")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The linked ones of distinct pairs (a, b)."""
     sides = [texts.select(F.col("h").alias(c), F.col("b").alias(f"b{c}")) for c in ("a", "b")]
-    sets = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", _hashes(F.col("ba"), shingle).alias("sa"), _hashes(F.col("bb"), shingle).alias("sb"))
-    # Both functions take repeats out, in generated code.
-    return sets.where(F.size(F.array_intersect("sa", "sb")) * 100 >= percent * F.size(F.array_union("sa", "sb"))).select("a", "b")
+    return _alike(pairs.join(sides[0], "a").join(sides[1], "b"), "ba", "bb", shingle, percent)
 
 
 def _bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
@@ -128,41 +133,35 @@ def _others(members: DataFrame, found: DataFrame, texts: DataFrame, shingle: int
     left = told.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("root") != F.col("head")).alias("o")).where("c > 2 and o > 0").select(F.col("band").alias("g"))
     held = group = stored(told.join(left, F.col("band") == F.col("g"), "left_semi"))
     own = stored(among(texts, "h", held.select(F.col("h").alias("v")).distinct()))
-    known = stored(own.join(_bitmaps(own, shingle), F.col("h") == F.col("v")).select("v", "b", F.size(_shingles(F.col("b"), shingle)).alias("n"), "bits"))
+    shared = held.groupBy(F.col("h").alias("u")).agg(F.collect_list("band").alias("bands"))  # one of each band at most
+    kept = known = stored(own.join(_bitmaps(own, shingle), F.col("h") == F.col("v")).join(shared, F.col("h") == F.col("u")).select("v", "b", F.size(_shingles(F.col("b"), shingle)).alias("n"), "bits", "bands"))
     held = held.join(known.select("v", "n"), F.col("h") == F.col("v")).drop("v")
     sized = held.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).select(F.col("band").alias("g"), F.ceil(F.greatest(F.col("c") / BLOCK, F.col("t") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     held = held.join(sized, F.col("band") == F.col("g")).withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    # Side 1 holds the members outside the pivot's component; in a block on the diagonal they are found in side 2.
-    first = held.where("root <> head").select("band", "h", "root", "head", F.lit(1).alias("side"), F.col("own").alias("i"), every.alias("j")).where("i <> j")
-    second = held.select("band", "h", "root", "head", F.lit(2).alias("side"), every.alias("i"), F.col("own").alias("j"))
+    # Side x holds the members outside the pivot's component, side y all; two of the former meet once.
+    words = [f"w{j}" for j in range(WORDS)]
+    known = known.select("v", "b", F.col("n").cast("double").alias("n"), "bands", *[F.coalesce(F.col("bits")[j], F.lit(0).cast("long")).alias(w) for j, w in enumerate(words)])
+    out = F.col("root") != F.col("head")
+    first = held.where(out).select("band", F.col("own").alias("i"), every.alias("j"), "h", "root")
+    second = held.select("band", every.alias("i"), F.col("own").alias("j"), "h", "root", out.alias("out"))
     # Few bytes but much work: a fixed number of partitions, which adaptive execution doesn't make fewer.
     tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = first.union(second).join(known, F.col("h") == F.col("v")).repartition(tasks, "band", "i", "j")
-    one = F.struct("root", "n", "b", "bits", (F.col("root") != F.col("head")).alias("out"))
-    blocks = dealt.groupBy("band", "i", "j").agg(F.collect_list(F.when(F.col("side") == 1, one)).alias("x"), F.collect_list(F.when(F.col("side") == 2, one)).alias("y"))
-    blocks = blocks.select(F.when(F.col("i") == F.col("j"), F.filter("y", lambda p: p["out"])).otherwise(F.col("x")).alias("x"), "y")
-    # Rows as they were read unpack a field at each access; structs made here don't.
-    opened = lambda m: F.struct(*[F.transform(m[c], lambda p: F.struct(*[p[f].alias(f) for f in ("root", "n", "b", "bits")])).alias(c) for c in ("x", "y")])
+    keys = ("band", "i", "j")
+    x, y = (side.join(known, F.col("h") == F.col("v")).drop("v").repartition(tasks, *keys) for side in (first, second))
+    x, y = (side.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in side.columns if c not in keys]) for side, s in ((x, "x"), (y, "y")))
+    # Doubles, which hold these counts exactly: additions of integers call a check of overflow each.
+    differ = reduce(add, [F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))).cast("double") for w in words])
+    met = [x[k] == y[k] for k in keys]
+    met += [F.col("root_x") != F.col("root_y"), ~F.col("out_y") | (F.col("h_x") < F.col("h_y"))]
+    met += [F.col("n_x") * 100.0 >= F.col("n_y") * float(percent), F.col("n_y") * 100.0 >= F.col("n_x") * float(percent)]
     # Sets of that similarity differ in at most (100 - percent) of (100 + percent) of their sizes' sum.
-    differ = lambda p, q: reduce(add, [F.bit_count(p["bits"][j].bitwiseXOR(q["bits"][j])) for j in range(WORDS)]) * (100 + percent)
-    alike = lambda p, q: (p["root"] != q["root"]) & (p["n"] * 100 >= q["n"] * percent) & (q["n"] * 100 >= p["n"] * percent)
-    near = lambda p, q: alike(p, q) & (differ(p, q) <= (100 - percent) * (p["n"] + q["n"]))
-    # Places in y of the lines that these bounds leave for each of x; sets are made once in a block, and only for these.
-    places = lambda m, p: F.filter(F.transform(m["y"], lambda q, i: F.when(near(p, q), i).otherwise(F.lit(-1))), lambda i: i >= 0)
-    placed = lambda m: F.struct(F.filter(F.transform(m["x"], lambda p: F.struct(p["root"].alias("root"), p["b"].alias("b"), places(m, p).alias("c"))), lambda p: F.size(p["c"]) > 0).alias("x"), m["y"].alias("y"))
-    asked = lambda m: F.struct(m["x"].alias("x"), m["y"].alias("y"), F.array_distinct(F.flatten(F.transform(m["x"], lambda p: p["c"]))).alias("need"))
-    none = F.array().cast("array<bigint>")
-    in_x = lambda p: F.struct(p["root"].alias("root"), p["c"].alias("c"), _shingles(p["b"], shingle).alias("s"))
-    in_y = lambda m: lambda q, i: F.struct(q["root"].alias("root"), F.when(F.array_contains(m["need"], i), _shingles(q["b"], shingle)).otherwise(none).alias("s"))
-    held_sets = lambda m: F.struct(F.transform(m["x"], in_x).alias("x"), F.transform(m["y"], in_y(m)).alias("y"))
-    link = lambda p, q: F.struct(F.least(p["root"], q["root"]).alias("a"), F.greatest(p["root"], q["root"]).alias("b"))
-    met = lambda m: F.flatten(F.transform(m["x"], lambda p: F.array_distinct(F.transform(F.filter(p["c"], lambda i: _similar(p["s"], m["y"][i]["s"], percent)), lambda i: link(p, m["y"][i])))))
-    links = F.struct("x", "y")
-    for step in (opened, placed, asked, held_sets, met):  # each step's result is bound to a variable, so that it is made once
-        links = F.transform(F.array(links), step)[0]
-    out = cut(blocks.select(F.explode(F.array_distinct(links)).alias("l")).select("l.a", "l.b").distinct())
-    discard(told, group, own, known)
+    met += [differ * float(100 + percent) <= (F.col("n_x") + F.col("n_y")) * float(100 - percent)]
+    # Two lines are compared in the first of the groups that both are in.
+    met += [F.array_min(F.array_intersect("bands_x", "bands_y")) == x["band"]]
+    near = x.join(y.hint("merge"), reduce(and_, met)).select(F.least("root_x", "root_y").alias("a"), F.greatest("root_x", "root_y").alias("b"), "b_x", "b_y")
+    out = cut(_alike(near, "b_x", "b_y", shingle, percent).distinct())
+    discard(told, group, own, kept)
     return out
 
 

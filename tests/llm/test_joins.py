@@ -421,3 +421,21 @@ def test_jaccard_classes_of_a_table_united_with_itself(spark):
     root = least_reachable(sets, links)
     assert all(root[i] == i - i % 3 for i in sets)
     assert got == {(i, len(sets[i]), root[i]): 2 for i in sets}
+
+
+def test_lines_are_compared_with_each_set_made_once(spark):
+    """A filter moved through the projection of the sets would make each twice; RUN shingles share a generated row."""
+    pairs, texts = spark.createDataFrame([(1, 2)], "a long, b long"), spark.createDataFrame([(1, b"abcdefghijkl", 4), (2, b"abcdefghijkl", 4)], "h long, b binary, n int")
+    linked = line_minhash._compared(pairs, texts, 9, 80)
+    assert [tuple(r) for r in linked.collect()] == [(1, 2)]
+    assert linked._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(substring") == 2
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc ü") for _ in range(n)) + "x" for n in (0, 1, 7, 8, 9, 10, 11, 12, 13, 40)]
+    lines = line_minhash.lines_of(spark.createDataFrame([(1, "\n".join([*words, words[-1]]))], "doc_id long, text string"))
+    signed = line_minhash.signatures(lines)
+    assert "sequence(0" in signed._jdf.queryExecution().optimizedPlan().toString()
+    each = lines.select("h", F.expr("encode(line, 'utf-8')").alias("b")).select("h", F.explode(F.expr("transform(sequence(1, greatest(1, octet_length(b) - 8)), i -> hash(substring(b, i, 9)))")).alias("x"))
+    turn = random.Random(5).getrandbits(32) - 2**31
+    least = dict(map(tuple, each.groupBy("h").agg(F.min(F.col("x").bitwiseXOR(F.lit(turn).cast("int")))).collect()))
+    assert {r.h: r.m0 for r in signed.collect()} == least
+    assert sorted(r.c for r in signed.collect()) == [1] * 9 + [2]
