@@ -69,18 +69,25 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows of 4 KB at most in the filter of sieve(), whatever the input.
-_BUCKETS = 1024
+#: Rows of the filter of sieve() at most, whatever the input, and words of 64 bits in each.
+_BUCKETS, _WORDS = 65536, 8
 
 
 def sieve(rows: DataFrame, column: str, ids: DataFrame, apart: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
     """The rows whose long column may be one of `ids` (v): a bitmap of fixed size, sent to all tasks, keeps most others from being shuffled. apart: the others, too."""
-    place = lambda c: {"_row": F.pmod(F.xxhash64(c), F.lit(_BUCKETS)), "_spot": F.pmod(F.xxhash64(F.lit(2), c), F.lit(32768))}
-    bits = ids.withColumns(place("v")).groupBy("_row").agg(F.bitmap_construct_agg("_spot").alias("_bits"))
-    test = F.expr("shiftright(cast(conv(hex(substring(_bits, cast(_spot div 8 as int) + 1, 1)), 16, 10) as int), cast(_spot % 8 as int)) & 1 = 1")
-    met = rows.withColumns(place(column)).join(F.broadcast(bits), "_row", "left" if apart else "inner")
+    spot = lambda c: F.xxhash64(F.lit(2), c)
+    bucket = lambda c: F.xxhash64(c).bitwiseAND(F.lit(_BUCKETS - 1)).alias("_row")
+    word = lambda c: spot(c).bitwiseAND(F.lit(_WORDS - 1)).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(spot(c), 58).cast("int"))
+    placed = ids.select(bucket(F.col("v")), word(F.col("v")).alias("_word"), bit(F.col("v")).alias("_bit"))
+    bits = placed.groupBy("_row").agg(*[F.bit_or(F.when(F.col("_word") == j, F.col("_bit"))).alias(f"_w{j}") for j in range(_WORDS)])
+    held = F.lit(0).cast("long")
+    for j in range(_WORDS):
+        held = F.when(word(F.col(column)) == j, F.col(f"_w{j}")).otherwise(held)
+    test = F.coalesce(held.bitwiseAND(bit(F.col(column))) != 0, F.lit(False))
+    met = rows.withColumn("_row", bucket(F.col(column))).join(F.broadcast(bits), "_row", "left" if apart else "inner")
     near = met.where(test).select(*rows.columns)
-    return (near, met.where(~F.coalesce(test, F.lit(False))).select(*rows.columns)) if apart else near
+    return (near, met.where(~test).select(*rows.columns)) if apart else near
 
 
 def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusloom.llm import fixity, lattice, line_minhash, mixing, partenum, pieces
+from locusloom.llm import common, fixity, lattice, line_minhash, mixing, partenum, pieces
 from locusloom.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -439,3 +439,34 @@ def test_lines_are_compared_with_each_set_made_once(spark):
     least = dict(map(tuple, each.groupBy("h").agg(F.min(F.col("x").bitwiseXOR(F.lit(turn).cast("int")))).collect()))
     assert {r.h: r.m0 for r in signed.collect()} == least
     assert sorted(r.c for r in signed.collect()) == [1] * 9 + [2]
+
+
+def test_a_sieve_tests_bits_as_numbers(spark):
+    """A test by way of text cost op5_line_minhash more than its bands; nothing that is asked for may be lost."""
+    rows = spark.range(20000).selectExpr("id", "IF(id % 1000 = 1, null, xxhash64(id)) AS x")
+    wanted = rows.where("id % 7 = 0 and x is not null").select(F.col("x").alias("v"))
+    near, far = common.sieve(rows, "x", wanted, apart=True)
+    ids = lambda df: {r.id for r in df.collect()}
+    assert "conv(" not in near._jdf.queryExecution().optimizedPlan().toString()
+    assert not ids(near) & ids(far) and ids(near) | ids(far) == set(range(20000))
+    asked = {i for i in range(0, 20000, 7) if i % 1000 != 1}
+    assert asked <= ids(near) and len(ids(near)) < len(asked) + 50
+    assert ids(common.sieve(rows, "x", wanted)) == ids(near) and ids(common.among(rows, "x", wanted)) == asked
+    assert common.sieve(rows, "x", wanted.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bitmaps_refuse_no_similar_line(spark, seed):
+    """Bounds go by bits that are made RUN shingles at a time."""
+    rng = random.Random(seed)
+    words = [w for _ in range(6) for base in ["".join(rng.choice("abcd ü") for _ in range(rng.randrange(1, 400)))] for w in (base, base + "x", "y" + base[:-2], base[: len(base) // 2])]
+    texts = line_minhash._texts(lines := line_minhash.lines_of(spark.createDataFrame([(1, "\n".join(words))], "doc_id long, text string")), lines.select(F.col("h").alias("v")).distinct(), 9)
+    bits = {r.v: [r[w] for w in line_minhash._WORDS] for r in line_minhash._bitmaps(texts, 9).collect()}
+    sets = {r.h: set(r.s) for r in texts.select("h", F.expr("transform(sequence(1, n), i -> hash(substring(b, i, 9)))").alias("s")).collect()}
+    assert bits == {h: [sum({1 << (x & 63) for x in s if (x & 0xFFFFFFFF) >> 6 & 31 == j}) - (1 << 64) * any(x & 63 == 63 and (x & 0xFFFFFFFF) >> 6 & 31 == j for x in s) for j in range(32)] for h, s in sets.items()}
+    sized = texts.join(line_minhash._bitmaps(texts, 9), F.col("h") == F.col("v")).select("h", F.size(line_minhash._shingles(F.col("b"), 9)).cast("double").alias("n"), *line_minhash._WORDS)
+    x, y = (sized.select(*[F.col(c).alias(f"{c}_{s}") for c in sized.columns]) for s in "xy")
+    first, whole = line_minhash._bounds("x", "y", 80)
+    near = {(r.h_x, r.h_y) for r in x.crossJoin(y).where(first & whole).collect()}
+    alike = {(a, b) for a in sets for b in sets if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert alike <= near and len(near) < len(sets) ** 2 / 2
