@@ -160,13 +160,17 @@ def _others(members: DataFrame, found: DataFrame, texts: DataFrame, shingle: int
     held = group = stored(told.join(left, F.col("band") == F.col("g"), "left_semi"))
     own = stored(among(texts, "h", held.select(F.col("h").alias("v")).distinct()))
     shared = held.groupBy(F.col("h").alias("u")).agg(F.collect_list("band").alias("bands"))  # one of each band at most
-    kept = known = stored(own.join(_bitmaps(own, shingle), F.col("h") == F.col("v")).join(shared, F.col("h") == F.col("u")).select("v", "b", F.size(_shingles(F.col("b"), shingle)).cast("double").alias("n"), "bands", *_WORDS))
+    known = own.join(_bitmaps(own, shingle), F.col("h") == F.col("v")).join(shared, F.col("h") == F.col("u"))
+    # A set has as many members as its bitmap has bits at least, and as its line has positions at most; it is made only where these are far apart.
+    bits = _total([F.bit_count(w).cast("double") for w in _WORDS])
+    size = lambda bound: F.when(bits * 2.0 >= F.col("n"), bound.cast("double")).otherwise(F.size(_shingles(F.col("b"), shingle)).cast("double"))
+    kept = known = stored(known.select("v", "b", size(F.col("n")).alias("n"), size(bits).alias("least"), "bands", *_WORDS))
     held = held.join(known.select("v", "n"), F.col("h") == F.col("v")).drop("v")
     sized = held.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).select(F.col("band").alias("g"), F.ceil(F.greatest(F.col("c") / BLOCK, F.col("t") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     held = held.join(sized, F.col("band") == F.col("g")).withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     # Side x holds the members outside the pivot's component, side y all; two of the former meet once.
-    known = known.select("v", "b", "bands", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", *_WORDS)])
+    known = known.select("v", "b", "bands", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "least", *_WORDS)])
     out = F.col("root") != F.col("head")
     first = held.where(out).select("band", F.col("own").alias("i"), every.alias("j"), "h", "root")
     second = held.select("band", every.alias("i"), F.col("own").alias("j"), "h", "root", out.alias("out"))
@@ -177,7 +181,7 @@ def _others(members: DataFrame, found: DataFrame, texts: DataFrame, shingle: int
     x, y = (side.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in side.columns if c not in keys]) for side, s in ((x, "x"), (y, "y")))
     met = [x[k] == y[k] for k in keys]
     met += [F.col("root_x") != F.col("root_y"), ~F.col("out_y") | (F.col("h_x") < F.col("h_y"))]
-    met += [F.col("n_x") * 100.0 >= F.col("n_y") * float(percent), F.col("n_y") * 100.0 >= F.col("n_x") * float(percent)]
+    met += [F.col("n_x") * 100.0 >= F.col("least_y") * float(percent), F.col("n_y") * 100.0 >= F.col("least_x") * float(percent)]
     met += _bounds("x", "y", percent)
     # Two lines are compared in the first of the groups that both are in.
     met += [F.array_min(F.array_intersect("bands_x", "bands_y")) == x["band"]]
