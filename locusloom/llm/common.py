@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +63,28 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of stored() that nothing reads any more: what was made of them is stored itself."""
+    """Deletes tables of stored() that nothing reads any more: what was made of them is stored itself. Trims the driver's JVM, too."""
     for table_ in tables:
         context = table_.sparkSession.sparkContext
         at = context._jvm.org.apache.hadoop.fs.Path(table_._stored_at)
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    for session in {id(t.sparkSession): t.sparkSession for t in tables}.values():
+        trim(session)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Gives native memory that the driver's JVM has freed back to the system, where it can. Its compiler and Spark's many threads for exchanges leave it in the allocator's arenas."""
+    context = spark.sparkContext
+    jvm, array = context._jvm, context._gateway.new_array
+    try:
+        # By the interface's method: the server's own class is not exported.
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        values = array(jvm.java.lang.Object, 4)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:  # a JVM without this command
+        return False
+    return True
 
 
 #: Rows of the filter of sieve() at most, whatever the input, and words of 64 bits in each.

@@ -20,15 +20,19 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.join(m, F.col("u") == F.col("c")).drop("c")
 
 
+def _two(rows: DataFrame, names: tuple[str, str], *pairs: tuple[str, str]) -> DataFrame:
+    """Each row's pairs, as rows with these names. A union would plan, and run, all that stands below it once for each pair."""
+    return rows.select(F.inline(F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(pair, names, strict=True)]) for pair in pairs])))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = _two(edges, ("u", "v"), ("a", "b"), ("b", "a"))
     return _least(both).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    found = _least(down)
-    return found.select(F.col("m").alias("a"), F.col("v").alias("b")).union(found.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a < b").distinct()
+    return _two(_least(down), ("a", "b"), ("m", "v"), ("m", "u")).where("a < b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

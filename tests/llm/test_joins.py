@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusloom.llm import common, fixity, lattice, line_minhash, mixing, partenum, pieces
-from locusloom.llm.components import components
+from locusloom.llm.components import _large_star, _small_star, components
 
 DOCS = "doc_id long, text string, lang string, source string"
 ODD = [(900, None, None, None), (901, "", "en", ""), (902, " \n\t", "en", "x"), (903, "one two", "en", "x"), (904, "One TWO", "en", "x"), (905, "w " * 20000, "en", "x"), (905, "w " * 20000, "en", "x"), (None, "no key here at all", None, None)]
@@ -58,6 +58,20 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_round_of_stars_plans_each_step_once(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    plan = _small_star(_large_star(edges))._jdf.queryExecution().sparkPlan().toString()
+    # The least of each vertex is taken and joined once in either star; the large one is read twice by the small one.
+    assert plan.count("Join") == 3 and "Union" not in plan
+
+
+def test_discarded_tables_trim_the_driver(spark, monkeypatch):
+    told, trim = [], common.trim
+    monkeypatch.setattr(common, "trim", lambda session: told.append(trim(session)))
+    common.discard(*[common.stored(spark.range(3)) for _ in range(2)])
+    assert told == [True]  # Java 17 and later, in their later updates, have the command
+
+
 def test_partenum_signatures_never_miss():
     rng, bands = np.random.default_rng(3), partenum.Bands()
     for size in (1, 3, 7, 12, 30, 90, 250):
